@@ -1,10 +1,10 @@
 """Near-duplicates by MinHash with tensored banding.
 
 Instead of a band of its own for each table, a table's key joins one of SIDE left bands with one of SIDE right bands: SIDE ** 2 tables
-from 2 * SIDE * WIDTH minhashes. Texts of equal sets are one class from the start. In each table's bucket the members are paired with two
+from 2 * SIDE * WIDTH minhashes. Texts of equal sets are one class from the start. In each table's bucket the members are paired with three
 members only: the one of those that share most bands with others, where a group's original is found, and one drawn by a hash; both choices
 differ from table to table and round to round. Pairs of similar sketch are confirmed on full sets, first each member's most similar
-one, then all that join different components; rounds follow until one finds no new link. So no bucket is cut short and none is paired
+one, then all that join different components; a second round draws anew for what is still apart. So no bucket is cut short and none is paired
 out, and the work is linear in bucket entries.
 
 A pair of Jaccard similarity 0.8 shares a table with probability 0.997, and is tried in about a quarter of 100 tables.
@@ -30,7 +30,7 @@ SIDE, WIDTH = 10, 3
 HASHES = 2 * SIDE * WIDTH
 #: Pairs whose share of equal minhashes falls so far below the threshold are not confirmed: over four standard deviations of the estimate.
 SLACK = 0.22
-ROUNDS = 4
+ROUNDS = 2
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -96,9 +96,9 @@ def candidates(keyed: DataFrame, seed: int) -> DataFrame:
     """Distinct (id, pivot) pairs: each entry with its bucket's two chosen members."""
     # Popularity times 1 to 1.25, another factor in each table: the few most popular of a group all have their turn.
     popular = F.max_by("id", F.col("pop") * (1024 + F.pmod(F.xxhash64(F.lit(~seed), "id", "key"), F.lit(256))))
-    drawn = F.min_by("id", F.xxhash64(F.lit(seed), "id", "key"))
-    chosen = keyed.groupBy("key").agg(F.count("*").alias("n"), popular.alias("p"), drawn.alias("q")).where("n > 1").drop("n")
-    pairs = keyed.select("key", "id").join(chosen, "key").select("id", F.explode(F.array("p", "q")).alias("pivot")).where("id <> pivot")
+    drawn = [F.min_by("id", F.xxhash64(F.lit(seed), F.lit(k), "id", "key")).alias(f"q{k}") for k in range(2)]
+    chosen = keyed.groupBy("key").agg(F.count("*").alias("n"), popular.alias("p"), *drawn).where("n > 1").drop("n")
+    pairs = keyed.select("key", "id").join(chosen, "key").select("id", F.explode(F.array_distinct(F.array("p", "q0", "q1"))).alias("pivot")).where("id <> pivot")
     return pairs.distinct()
 
 
@@ -178,6 +178,18 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "id") != F.coalesce("cb", "pivot")).select(pairs.columns)
 
 
+def _joined(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Components after more links: only the components that these join are worked on."""
+    c = links.select(F.col("v").alias("n"), F.col("u").alias("c"))
+    ends = found.join(c.withColumnsRenamed({"n": "u", "c": "cu"}), "u", "left").join(c.withColumnsRenamed({"n": "v", "c": "cv"}), "v", "left")
+    over = stars(ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+    moved = links.join(over.select(F.col("v").alias("u"), F.col("u").alias("to")), "u", "left").select(F.coalesce("to", "u").alias("u"), "v")
+    after = cut(moved.union(over.select("u", "v")), "stars")
+    for x in (links, found, over):
+        remove(x)
+    return after
+
+
 def components(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
     base = cut(sketches(docs, size), "sketches")
@@ -190,31 +202,16 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
     for turn in range(rounds):
         pairs = likely(candidates(keyed, turn), reps, percent)
         pairs = cut(_apart(pairs, links) if links is not None else pairs, "pairs")
-        if pairs.isEmpty():
-            remove(pairs)
-            break
         if links is None:
             best = pairs.groupBy("id").agg(F.max_by("pivot", "same").alias("pivot"))
             links = stars(confirm(best, docs, size, percent))
             more = cut(_apart(pairs, links), "pairs")
             remove(pairs)
             pairs = more
-        found = cut(confirm(pairs, docs, size, percent), "links")
+        links = _joined(links, cut(confirm(pairs, docs, size, percent), "links"))
         remove(pairs)
-        if found.isEmpty():
-            remove(found)
-            if turn:
-                break
-            continue
-        after = stars(links.select("u", "v").union(found))
-        remove(links)
-        remove(found)
-        links = after
     out = base.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    if links is not None:
-        out = out.join(links.select(F.col("v").alias("id"), F.col("u").alias("c")), "id", "left")
-    else:
-        out = out.withColumn("c", F.lit(None).cast("long"))
+    out = out.join(links.select(F.col("v").alias("id"), F.col("u").alias("c")), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
