@@ -23,16 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import fresh_dir, whole_text
+from .bpe import byte_letters
 
 HEAD, TAIL = struct.Struct("<4sIII"), struct.Struct("<QQQI4s")
 #: A worker forgets its words beyond so many; speed only.
 CACHE = 400_000
 _MADE: dict[int, tuple] = {}
+#: Fixed value: the pretokens of the word tokenizer.
+PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LETTERS = dict(enumerate(byte_letters()))
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -142,26 +147,27 @@ def encode_words(texts: list[str], content: bytes) -> list[bytes]:
         own = Tokenizer.from_buffer(content)
         own.no_truncation()
         own.no_padding()
-        special = {t.content.encode(): i for i, t in own.get_added_tokens_decoder().items()}
-        _MADE[key] = own, {}, special
-    own, known, special = _MADE[key]
+        _MADE[key] = own, {None: {}}
+    own, known = _MADE[key]
     if len(known) > CACHE:
         known.clear()
+        known[None] = {}
     # Below U+02B0 lower case and composition depend on no neighbour, so these texts share their words in lower case.
     split = [(t.lower() if t and max(t) < "\u02b0" and "<|" not in t else t).encode().split() for t in texts]
     fresh = [*{w for ws in split for w in ws if w not in known}]
-    # Many words go to the tokenizer as one text, a special token between each two: it is cut out before anything else is done.
-    between = min(special, default=None)
-    alone = [w for w in fresh if between is None or any(s in w for s in special)]
-    if alone:
-        fresh = [*{*fresh} - {*alone}] if between else []
-        known.update((w, np.array(own.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()) for w in alone)
-    for i in range(0, len(fresh), 1000):
-        part = fresh[i : i + 1000]
-        ids = np.array(own.encode_batch_fast([between.join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-        ends = [*np.flatnonzero(ids == special[between]).tolist(), len(ids)]
-        starts = [0, *(e + 1 for e in ends[:-1])]
-        known.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts, ends, strict=True))
+    pieces: dict[str, bytes] = known[None]
+    for raw in fresh:
+        w = raw.decode()
+        if max(w) >= "\u02b0" or "<|" in w or not w.isprintable():
+            known[raw] = np.array(own.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            continue
+        # Without special tokens or marks to compose, the tokenizer's steps before its model are lower case and this split.
+        parts = PRETOKENS.findall(w.lower())
+        for p in parts:
+            if p not in pieces:
+                letters = p if p.isascii() else p.encode().decode("latin-1").translate(LETTERS)
+                pieces[p] = np.array([t.id for t in own.model.tokenize(letters)], "<u4").tobytes()
+        known[raw] = pieces[parts[0]] if len(parts) == 1 else b"".join(map(pieces.__getitem__, parts))
     return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
