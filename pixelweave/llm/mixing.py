@@ -42,8 +42,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float
 
 def copies(rate: Column, u: Column) -> Column:
     """The smallest k whose cumulative Poisson probability reaches u. The terms are summed in logarithms from 0 on; beyond a mean of
-    500 the sum starts 40 standard deviations below it, where what is left out lies below the tail that 52 bits can tell apart."""
-    first = F.greatest(F.lit(0.0), F.when(rate > 500, F.floor(rate - 40 * F.sqrt(rate))).otherwise(F.lit(0.0))).cast("long")
+    500 the sum starts 12 standard deviations below it, where what is left out lies below the tail that 52 bits can tell apart."""
+    first = F.greatest(F.lit(0.0), F.when(rate > 500, F.floor(rate - 12 * F.sqrt(rate))).otherwise(F.lit(0.0))).cast("long")
     last = (rate + 40 * F.sqrt(rate) + 40).cast("long")
     # ln(k!) for the first term: exact product for small k; Stirling's series beyond.
     k = first.cast("double")

@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.oracle(), "op4_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle()}
+    return {"op3_warc": warc.oracle(), "op4_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(), "op8_nearest_vectors": ann.oracle()}
