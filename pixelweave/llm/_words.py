@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: A worker forgets its words beyond so many; speed only.
-CACHE = 400_000
+CACHE = 250_000
 _HASH: dict[bytes, int] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

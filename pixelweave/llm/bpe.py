@@ -27,7 +27,7 @@ from ._shared import whole_text
 #: Fixed value: the pattern of the byte-level pretokenizer.
 PRETOKENS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A worker forgets its chunks beyond so many; speed only.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -190,7 +190,7 @@ def encoder(content: bytes) -> PairIndexBPE:
     return _MADE[key]
 
 
-def _slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = 5 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about so many bytes of text each."""
     sizes = pa.compute.binary_length(texts).to_pylist()
     start, total = 0, 0

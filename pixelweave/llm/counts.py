@@ -25,7 +25,7 @@ from ._shared import whole_text
 
 SPACE = "▁"
 #: A worker forgets its words beyond so many; speed only.
-CACHE = 400_000
+CACHE = 250_000
 #: Fixed value: how far below the lowest score an unknown character lies.
 UNKNOWN_PENALTY = 10.0
 _MADE: dict[int, CountingViterbi] = {}
