@@ -1,7 +1,7 @@
 """Near-duplicates by MinHash with tensored banding.
 
 Instead of a band of its own for each table, a table's key joins one of SIDE left bands with one of SIDE right bands: SIDE ** 2 tables
-from 2 * SIDE * WIDTH minhashes. Texts of equal sets are one class from the start. In each table's bucket the members are paired with three
+from 2 * SIDE * WIDTH minhashes. Texts of equal sets are one class from the start. In each table's bucket the members are paired with two
 members only: the one of those that share most bands with others, where a group's original is found, and one drawn by a hash; both choices
 differ from table to table and round to round. Pairs of similar sketch are confirmed on full sets, first each member's most similar
 one, then all that join different components; a second round draws anew for what is still apart. So no bucket is cut short and none is paired
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, remove, whole_text
+from ._shared import cut, release, remove, whole_text
 from ._words import mix, shingle_set
 
 SIDE, WIDTH = 10, 3
@@ -31,6 +31,8 @@ HASHES = 2 * SIDE * WIDTH
 #: Pairs whose share of equal minhashes falls so far below the threshold are not confirmed: over four standard deviations of the estimate.
 SLACK = 0.22
 ROUNDS = 2
+#: Orders by which a round's buckets choose.
+TURNS = 4
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -82,23 +84,27 @@ def bands(side: int) -> list:
 
 
 def entries(reps: DataFrame) -> DataFrame:
-    """(key, id, pop): the table keys of each document that shares a left and a right band with some other; pop: how many entries its bands have."""
+    """(key, id, pop, copies): the table keys of each document that shares a left and a right band with some other; pop: how many entries its bands have."""
     sided = reps.select("id", F.posexplode(F.array(*bands(0), *bands(1))).alias("at", "band"))
     shared = sided.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     pop = sided.join(shared, "band").groupBy("id").agg(F.sum("n").alias("pop"), F.min("at").alias("first"), F.max("at").alias("last"))
     pop = pop.where((F.col("first") < SIDE) & (F.col("last") >= SIDE)).select("id", "pop")
     left, right = ([F.col(f"{c}{i}") for i in range(SIDE)] for c in "lr")
-    split = reps.select("id", *[b.alias(f"l{i}") for i, b in enumerate(bands(0))], *[b.alias(f"r{i}") for i, b in enumerate(bands(1))]).join(pop, "id")
-    return split.select("id", "pop", F.explode(F.array(*[F.xxhash64(a, b) for a in left for b in right])).alias("key"))
+    split = reps.select("id", "copies", *[b.alias(f"l{i}") for i, b in enumerate(bands(0))], *[b.alias(f"r{i}") for i, b in enumerate(bands(1))]).join(pop, "id")
+    return split.select("id", "pop", "copies", F.explode(F.array(*[F.xxhash64(a, b) for a in left for b in right])).alias("key"))
 
 
 def candidates(keyed: DataFrame, seed: int) -> DataFrame:
     """Distinct (id, pivot) pairs: each entry with its bucket's two chosen members."""
-    # Popularity times 1 to 1.25, another factor in each table: the few most popular of a group all have their turn.
-    popular = F.max_by("id", F.col("pop") * (1024 + F.pmod(F.xxhash64(F.lit(~seed), "id", "key"), F.lit(256))))
-    drawn = [F.min_by("id", F.xxhash64(F.lit(seed), F.lit(k), "id", "key")).alias(f"q{k}") for k in range(2)]
-    chosen = keyed.groupBy("key").agg(F.count("*").alias("n"), popular.alias("p"), *drawn).where("n > 1").drop("n")
-    pairs = keyed.select("key", "id").join(chosen, "key").select("id", F.explode(F.array_distinct(F.array("p", "q0", "q1"))).alias("pivot")).where("id <> pivot")
+    # Most popular is the text that shares most bands, with more or less noise, or that has most exact copies.
+    # The choice goes by one of TURNS orders of all documents, so a large group's tables share a few members, who all have their turn.
+    turn = F.pmod(F.col("key"), F.lit(TURNS))
+    noise = F.pmod(F.xxhash64(F.lit(~seed), "id", turn), F.lit(256))
+    by_pop = F.col("pop") * (1024 + F.when(turn == 0, F.shiftright(noise, 4)).when(turn == 1, F.shiftright(noise, 1)).otherwise(noise))
+    popular = F.max_by("id", F.when(turn == 2, F.shiftleft(F.col("copies"), 32) + F.col("pop")).otherwise(by_pop))
+    drawn = F.min_by("id", F.xxhash64(F.lit(seed), "id", turn))
+    chosen = keyed.groupBy("key").agg(F.count("*").alias("n"), popular.alias("p"), drawn.alias("q")).where("n > 1").drop("n")
+    pairs = keyed.select("key", "id").join(chosen, "key").select("id", F.explode(F.array_distinct(F.array("p", "q"))).alias("pivot")).where("id <> pivot")
     return pairs.distinct()
 
 
@@ -187,6 +193,7 @@ def _joined(links: DataFrame, found: DataFrame) -> DataFrame:
     after = cut(moved.union(over.select("u", "v")), "stars")
     for x in (links, found, over):
         remove(x)
+    release(after.sparkSession)
     return after
 
 
@@ -194,9 +201,9 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
     """(doc_id, n_shingles, component_id, kept) of each row."""
     base = cut(sketches(docs, size), "sketches")
     full = base.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     members = full.join(classes, "digest")
-    reps = cut(members.where("doc_id = id").groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "classes")
+    reps = cut(members.where("doc_id = id").groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.max("copies").alias("copies")), "classes")
     keyed = entries(reps)
     links = None
     for turn in range(rounds):
@@ -205,12 +212,13 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
         if links is None:
             best = pairs.groupBy("id").agg(F.max_by("pivot", "same").alias("pivot"))
             links = stars(confirm(best, docs, size, percent))
+            release(docs.sparkSession)
             more = cut(_apart(pairs, links), "pairs")
             remove(pairs)
             pairs = more
         links = _joined(links, cut(confirm(pairs, docs, size, percent), "links"))
         remove(pairs)
-    out = base.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    out = base.select("doc_id", "n_shingles", "digest").join(classes.drop("copies"), "digest", "left")
     out = out.join(links.select(F.col("v").alias("id"), F.col("u").alias("c")), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
