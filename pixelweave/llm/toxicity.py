@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import whole_text
+from ._shared import cut, remove, whole_text
 
 SAMPLE, ENTRIES = 20_000, 2_000
 PREFIXES = range(4, 9)
@@ -80,8 +80,7 @@ class Model:
         self.weights, self.exceptions, self.bias, self.slope = state
         self.machine = None
 
-    def features(self, text: str) -> tuple[float, float]:
-        """log(1 + weight), and the weight for each hundred words. Of entries that begin at one word the heaviest counts; none in an exception does."""
+    def compiled(self) -> ahocorasick.Automaton:
         if self.machine is None:
             self.machine = ahocorasick.Automaton()
             for entry, w in self.weights.items():
@@ -89,7 +88,15 @@ class Model:
             for phrase in self.exceptions:
                 self.machine.add_word(phrase, (len(phrase), None))
             self.machine.make_automaton()
-        if not len(self.machine):
+        return self.machine
+
+    def holds(self, folded: str) -> bool:
+        """Whether any entry is in the folded text."""
+        return bool(len(self.compiled())) and next(self.machine.iter(folded), None) is not None
+
+    def features(self, text: str) -> tuple[float, float]:
+        """log(1 + weight), and the weight for each hundred words. Of entries that begin at one word the heaviest counts; none in an exception does."""
+        if not len(self.compiled()):
             return 0.0, 0.0
         folded = fold(text)
         found: dict[int, float] = {}
@@ -138,7 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(taken), "doc_id").select("toxic", "text")
+    # The sample is read again and again, the whole table only once.
+    texts = cut(docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(taken), "doc_id").select("toxic", "text"), "sample")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Whole words, beginnings and pairs of each distinct text count once; "" counts the texts.
@@ -153,18 +161,28 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
                 yield pa.RecordBatch.from_arrays([pa.array([*out], pa.string()), pa.array([n[0] for n in out.values()], pa.int64()), pa.array([n[1] for n in out.values()], pa.int64())], names=["term", "clean", "toxic"])
 
     counts = texts.dropDuplicates().mapInArrow(emit, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = cut(counts.where((F.col("clean") >= 4) | (F.col("toxic") >= 4)), "terms")
     per_class = texts.dropDuplicates().agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") > 0, 1))).first()
     n_clean, n_toxic = per_class
     if not n_clean or not n_toxic:
+        remove(texts)
+        remove(counts)
         return Model(bias=30.0 if n_toxic else -30.0)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     enough = max(4, math.ceil(least_share * n_toxic))
     word_pair = F.col("term").rlike("^ [^ ]+ [^ ]+ $")
     best = counts.where(~word_pair & (F.col("term") != "") & (F.col("toxic") >= enough)).withColumn("odds", odds).where(F.col("odds") >= least_odds).orderBy(F.desc("odds"), "term").limit(entries)
     weights = {r["term"]: r["odds"] for r in best.collect()}
-    inside = F.exists(F.array(*[F.lit(w) for w in weights]), lambda w: F.col("term").contains(w)) if weights else F.lit(False)
-    excused = counts.where(word_pair & (F.col("clean") >= 4) & (odds < 0)).where(inside).orderBy(F.desc("clean"), "term").limit(entries)
+    pairs = counts.where(word_pair & (F.col("clean") >= 4) & (odds < 0)).select("term", "clean")
+    found = Model(weights)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([found.holds(t) for t in batch.column(0).to_pylist()], pa.bool_()))
+
+    excused = pairs.mapInArrow(inside, pairs.schema).orderBy(F.desc("clean"), "term").limit(entries)
     model = Model(weights, [r["term"] for r in excused.collect()] if weights else [])
+    remove(counts)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,6 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in found], pa.float64()), pa.array([b for _, b in found], pa.float64())], names=["toxic", "a", "b"])
 
     rows = np.array([tuple(r) for r in texts.mapInArrow(measure, "toxic int, a double, b double").collect()], dtype=float)
+    remove(texts)
     rows = rows[np.lexsort(rows.T)]
     bias, a, b = _logistic(rows[:, 1:], (rows[:, 0] > 0).astype(float))
     model.bias, model.slope = float(bias), (float(a), float(b))
