@@ -131,3 +131,29 @@ def as_int(kind: Column, v: Column) -> Column:
 def as_float(kind: Column, v: Column, num: Column, den: Column) -> Column:
     """Floats, and rationals unless the denominator is 0; integers are not floats."""
     return F.when(kind == "float", v.try_cast("double")).when(kind == "rational", F.try_divide(num, den))
+
+
+def residual(v: Column, guess: Column) -> Column:
+    return F.zip_with(v, guess, lambda a, b: a - b)
+
+
+def reconstruct(guess: Column, left: Column) -> Column:
+    return F.zip_with(guess, left, lambda a, b: clamp(a + b, 0, 255))
+
+
+def coefficient_contexts(v: Column) -> Column:
+    """0, 1 or 2 for each coefficient: the magnitude of the one before it, 0 at the start."""
+    return F.transform(v, lambda x, i: F.when(i == 0, F.lit(0)).otherwise(F.least(F.abs(F.get(v, i - 1)).cast("int"), F.lit(2))))
+
+
+def insert_markers(data: Column, interval: int) -> Column:
+    """Bytes with a marker put in after `interval` bytes, and then after each interval + 4 further bytes of data."""
+    s = F.decode(data, "ISO-8859-1")  # one character a byte
+    step, n = interval + len(fixed.RESYNC), F.length(data)
+    later = F.when(n > interval, F.transform(F.sequence(F.lit(0), div(n - 1 - interval, step).cast("int")), lambda k: F.substring(s, interval + 1 + k * step, F.lit(step))))
+    return F.encode(F.array_join(F.concat(F.array(F.substring(s, 1, interval)), F.coalesce(later, F.array().cast("array<string>"))), fixed.RESYNC.decode("latin-1")), "ISO-8859-1")
+
+
+def find_marker(data: Column, start: int = 0) -> Column:
+    """Offset of the first marker at or after start; null if there is none."""
+    return F.nullif(F.locate(fixed.RESYNC.decode("latin-1"), F.decode(data, "ISO-8859-1"), start + 1), F.lit(0)) - 1

@@ -90,3 +90,34 @@ def deblock_row(q: int) -> tuple[int, int, int, bool, bool]:
     strength = 40 if q < 70 else 28 if q < 80 else 18 if q < 85 else 10 if q < 90 else 6 if q < 95 else 3
     edge = 20 if q < 80 else 15 if q < 90 else 10
     return strength, edge, 3 if q < 80 else 5 if q < 90 else 6, q >= 92, q < 97
+
+
+# Probabilities (of 256, of a zero) of the token tree: end of block, a step up the ladder of classes, extra bits of classes 5 to 10.
+END_PROB = 252
+CLASS_PROBS = (180, 165, 145, 140, 135, 128, 128, 128, 128, 128)
+EXTRA_PROBS = {5: (159,), 6: (165, 145), 7: (173, 148, 140), 8: (176, 155, 140, 135), 9: (180, 157, 141, 134, 130), 10: (254, 254, 243, 230, 196, 177, 153, 140, 133, 130, 129)}
+# Adaptive probabilities of the first block type, bands 1 to 7; context c has entry c at node 0 and entry c + 1 at node 3. All others are 128.
+BAND_PROBS = ((176, 167, 154, 141), (186, 177, 166, 154), (190, 183, 175, 166), (193, 188, 182, 175), (195, 191, 186, 181), (197, 194, 190, 185), (199, 196, 193, 189))
+BLOCK_TYPES = ("Y1", "Y2", "UV", "Y1AC")
+# Colour profiles (name, space, intent, profile name, description), Exif tags, marker.
+ICC = (
+    ("srgb", "SRGB", "Perceptual", "sRGB IEC61966-2.1", "sRGB color space profile"),
+    ("adobe_rgb", "AdobeRGB", "RelativeColorimetric", "Adobe RGB (1998)", "Adobe RGB color space profile"),
+    ("display_p3", "DisplayP3", "Perceptual", "Display P3", "Apple Display P3 color space"),
+    ("prophoto_rgb", "ProPhotoRGB", "RelativeColorimetric", "ProPhoto RGB", "ProPhoto RGB color space for wide gamut"),
+    ("rec2020", "Rec2020", "Perceptual", "ITU-R BT.2020", "Rec. 2020 HDR color space"),
+    ("raw", "Custom", "Perceptual", "Custom ICC Profile", "Embedded ICC profile"),
+)
+EXIF_TAGS = (
+    "Make", "Model", "Software", "DateTime", "DateTimeOriginal", "ExposureTime", "FNumber", "ISOSpeedRatings", "FocalLength", "FocalLengthIn35mm", "LensModel", "Artist", "Copyright", "ImageDescription", "Orientation",
+    "XResolution", "YResolution", "GPSLatitude", "GPSLongitude", "GPSAltitude", "ImageWidth", "ImageHeight", "WhiteBalance", "Flash", "MeteringMode", "ExposureProgram", "ExposureBiasValue", "ColorSpace",
+)
+RESYNC = b"\xff\xd0\0\0"
+
+
+def probability(block_type: int, band: int, context: int, node: int) -> int:
+    """The default probability at a place of the coefficient table; indices past the end are the last ones."""
+    band, node = min(band, 7), min(node, 10)
+    if block_type or not band or node not in (0, 3):
+        return 128
+    return BAND_PROBS[band - 1][context + (node == 3)]

@@ -1,0 +1 @@
+from . import queries, records  # noqa: F401  (records adds its queries to those of queries)

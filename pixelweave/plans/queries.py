@@ -506,16 +506,6 @@ def chunk_crc(spark, sf_dir):
     return d.select("doc_id", container.crc(F.col("tag"), F.col("data")).alias("crc"), F.length(f).cast("long").alias("framed"), F.sha2(f, 256).alias("sha256"))
 
 
-@query(
-    """WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents), m AS (SELECT doc_id, n, (CASE WHEN n >= 260 THEN 1 + (n - 260) // 260 ELSE 0 END) AS k FROM d)
-SELECT doc_id, n::BIGINT AS n, (n // 256)::BIGINT AS markers, (n + 4 * (n // 256))::BIGINT AS with_markers FROM m"""
-)
-def resync_offsets(spark, sf_dir):
-    """A marker of four bytes after each 256 bytes of source."""
-    n = F.octet_length("text").cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n"), C.div(n, 256).alias("markers"), (n + 4 * C.div(n, 256)).alias("with_markers"))
-
-
 def _images(spark: SparkSession) -> DataFrame:
     rows = []
     for name, w, h, c, f in (("grad32", 32, 32, 3, lambda x, y: (8 * x, 8 * y, 128)), ("grad64", 64, 64, 3, lambda x, y: (4 * x, 4 * y, 200)), ("rgba16", 16, 16, 4, lambda x, y: (16 * x, 16 * y, 100, 8 * (x + y))), ("odd13x9", 13, 9, 3, lambda x, y: (19 * x, 28 * y, 60)), ("gray", 24, 16, 1, lambda x, y: (7 * x + 3 * y,))):
