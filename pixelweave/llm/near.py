@@ -4,10 +4,12 @@ Instead of a band of its own for each table, a table's key joins one of SIDE lef
 from 2 * SIDE * WIDTH minhashes. Texts of equal sets are one class from the start. In each table's bucket the members are paired with two
 members only: the one of those that share most bands with others, where a group's original is found, and one drawn by a hash; both choices
 differ from table to table and round to round. Pairs of similar sketch are confirmed on full sets, first each member's most similar
-one, then all that join different components; a second round draws anew for what is still apart. So no bucket is cut short and none is paired
-out, and the work is linear in bucket entries.
+one, then all that join different components; a second round draws anew for what is still apart. That is linear in bucket entries and joins
+most. In buckets that still hold more than one component, every member outside the bucket's largest component is then compared with all
+members of other components, in blocks of sketches, and what comes near to the similarity is confirmed. So every bucket pair is settled: its
+ends are in one component, or their sketches or sets were compared.
 
-A pair of Jaccard similarity 0.8 shares a table with probability 0.997, and is tried in about a quarter of 100 tables.
+A pair of Jaccard similarity 0.8 shares a table with probability 0.997.
 
 Defined results: null and empty texts, and texts without words, have the empty set and are linked with nothing; a text of fewer
 words than a shingle is one shingle; rows with a null doc_id are linked with nothing, have a null component and are kept; rows that
@@ -33,6 +35,8 @@ SLACK = 0.22
 ROUNDS = 2
 #: Orders by which a round's buckets choose.
 TURNS = 4
+#: Members of a block of a bucket, on average; blocks are compared with blocks.
+BLOCK = 1024
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -117,6 +121,68 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return near.select("id", "pivot", same.alias("same")).where(F.col("same") >= int(HASHES * (percent / 100 - SLACK)))
 
 
+def unsettled(keyed: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, c): the entries of buckets that hold more than one component; c: the entry's component."""
+    c = links.select(F.col("v").alias("id"), F.col("u").alias("c"))
+    at = keyed.select("key", "id").join(c, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    several = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    return at.join(several, "key")
+
+
+def remaining(opened: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct (id, pivot): every pair of unsettled entries of a bucket, in different components, whose sizes and sketches allow the similarity.
+
+    The sketches compared have one byte of each minhash, which can only add pairs. Members outside a bucket's largest component meet all members, block by block.
+    """
+    low = int(HASHES * (percent / 100 - SLACK))
+    held = opened.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("m"))
+    short = F.transform("sketch", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
+    entry = opened.join(held, "key").join(reps.select("id", short.alias("sketch"), "n_shingles"), "id")
+    count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    deal = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "id"), count(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), count(c) - 1))
+    cols = ["key", "o", "e", "side", "id", "c", "big", "n_shingles", "sketch"]
+    outside = entry.where("c <> big").withColumns({"o": deal(1, "m"), "side": F.lit(0)}).withColumn("e", every("n")).select(cols)
+    members = entry.withColumns({"e": deal(2, "n"), "side": F.lit(1)}).withColumn("o", every("m")).select(cols)
+
+    def compared(side: list[list], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        if not side[0] or not side[1]:
+            return
+        (a, ca, _, na, sa), (b, cb, big, nb, sb) = ([np.array(x) for x in zip(*rows, strict=True)] for rows in side)
+        step = max(1, 200_000 // len(b))
+        for lo in range(0, len(a), step):
+            i = slice(lo, lo + step)
+            small, large = np.minimum(na[i, None], nb[None]), np.maximum(na[i, None], nb[None])
+            ok = (ca[i, None] != cb[None]) & ((cb == big)[None] | (a[i, None] < b[None])) & (100 * small >= percent * large)
+            x, y = np.nonzero(ok)
+            near = (sa[i][x] == sb[y]).sum(1) >= low
+            if near.any():
+                out.append((a[i][x[near]], b[y[near]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, side, out = None, [[], []], []
+
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["id", "pivot"])
+
+        for batch in filter(len, batches):
+            sketched = np.asarray(batch.column(8).flatten()).reshape(batch.num_rows, -1)
+            for row, (*now, s, i, c, big, n) in enumerate(zip(*(x.to_pylist() for x in batch.columns[:8]), strict=True)):
+                if now != key:
+                    compared(side, out)
+                    key, side = now, [[], []]
+                    if sum(len(x) for x, _ in out) > 100_000:
+                        yield flushed()
+                        out = []
+                side[s].append((i, c, big, n, sketched[row]))
+        compared(side, out)
+        if out:
+            yield flushed()
+
+    dealt = outside.union(members).repartition("key", "o", "e").sortWithinPartitions("key", "o", "e", "side")
+    return dealt.mapInArrow(run, "id long, pivot long").distinct()
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The (u, v) of pairs (id, pivot) whose full sets have the similarity. One side's set travels as 6 bytes a shingle; of equal sets all bytes are equal."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -218,6 +284,11 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
             pairs = more
         links = _joined(links, cut(confirm(pairs, docs, size, percent), "links"))
         remove(pairs)
+    opened = cut(unsettled(keyed, links), "opened")
+    pairs = cut(likely(remaining(opened, reps, percent), reps, percent), "pairs")
+    remove(opened)
+    links = _joined(links, cut(confirm(pairs, docs, size, percent), "links"))
+    remove(pairs)
     out = base.select("doc_id", "n_shingles", "digest").join(classes.drop("copies"), "digest", "left")
     out = out.join(links.select(F.col("v").alias("id"), F.col("u").alias("c")), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "id", "doc_id"))

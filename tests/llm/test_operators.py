@@ -252,3 +252,21 @@ def test_near_duplicates_by_brute_force(spark):
                 top[b] = a
     got = near.components(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), 2, 80).collect()
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == {i: (find(i), len(s)) for i, s in enumerate(sets)}
+
+
+def test_near_duplicates_that_no_pivot_links(spark, monkeypatch):
+    """A family without an original, whose pivots are withheld: 20 pairs of near copies, all pairs of which are alike at about 0.67."""
+    rnd = random.Random(11)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for group in range(20):
+        first = list(base)
+        for at in rnd.sample(range(120), 6):
+            first[at] = f"g{group}x{at}"
+        texts += [first, [*first[:-1], f"y{group}"]]
+    sets = [{*zip(t, t[1:], strict=False)} for t in texts]
+    assert all((100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) == (i // 2 == j // 2) for i in range(40) for j in range(i))
+    pivots = near.candidates
+    monkeypatch.setattr(near, "candidates", lambda keyed, seed: pivots(keyed, seed).where("false"))
+    monkeypatch.setattr(near, "BLOCK", 8, raising=False)
+    got = near.components(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), 2, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i in range(40)}
