@@ -270,3 +270,11 @@ def test_near_duplicates_that_no_pivot_links(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 8, raising=False)
     got = near.components(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), 2, 80).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i in range(40)}
+
+
+def test_passages_whose_seeds_older_documents_hold(spark):
+    """An exact repeat of 60 words each of whose 5-word windows stands alone in an older document."""
+    words = [f"w{i}" for i in range(60)]
+    docs = [words[i : i + 5] for i in range(56)] + [[f"a{i}" for i in range(40)] + words + [f"b{i}" for i in range(40)], [f"c{i}" for i in range(40)] + words + [f"d{i}" for i in range(40)]]
+    got = substring.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["ref_ids"]) for r in got] == [(57, 40, 100, [56])]
