@@ -1,129 +1,195 @@
 """Nearest neighbours by largest inner product, with vantage-point trees.
 
-Vectors are lifted by one coordinate to equal length, where the largest inner product is the smallest distance and the triangle
-inequality holds. They are dealt into shards by a hash; each shard has a vantage-point tree, which blocks of queries descend
-together. A child is skipped when `factor` times the lower bound of its distances exceeds the distance of the k-th found: factor 1 is exact,
-larger factors skip more. A query's best of all shards are merged by a window whose group limit works before the shuffle.
+Vectors are centred (which changes all products of a query alike) and lifted by one coordinate to equal length; queries are scaled to that
+length too. There the largest inner product is the smallest distance, and the triangle inequality holds. Vectors are dealt into
+shards by a hash; a task holds the vantage-point tree of one shard and lets the queries stream by. Each query first descends to the leaf
+nearest to it; then the tree is walked once for all queries of a block. A child is skipped when `factor` times the lower bound of its distances exceeds the
+distance of the k-th found: factor 1 is exact, larger factors skip more. A query's best of all shards are merged by a window whose
+group limit works before the shuffle. Each vector is shuffled once, each query once for each shard.
 
-Of equal vectors only the k + 1 with the smallest ids can be in a result (ties go to smaller ids, a query may leave itself out), so others
-need no search: hot vectors cost no more than rare ones, and nothing is lost.
+Among ties the smallest ids win: all vectors within rounding of the k-th product are kept until their exact products, summed in the order
+of the components, decide. Of equal vectors only the k + 1 with the smallest ids can be in a result (a query may leave itself out), so
+others need no search: hot vectors cost no more than rare ones, and nothing is lost.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id; vectors
-of different dimensions are no candidates for each other; a repeated id keeps its first row by vector; with fewer candidates than k all are returned;
-an empty table gives an empty result; other columns are left out. Memory: a task holds one shard and one block of queries.
+of different dimensions are no candidates for each other; rows that repeat an id are rows each, as queries and as candidates; with fewer candidates
+than k all are returned; an empty table gives an empty result; other columns are left out. Memory: a task holds one shard, one batch of
+queries and a bounded list of candidates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RESULT = "query_id long, vec_id long, score double"
+from ._shared import cut
 
+RESULT = "query long, query_id long, row long, vec_id long, score double"
+#: Rows of a shard at least and at most; between them a shard is a fourth of a core's share.
+SHARD = 25_000, 250_000
+#: Queries that walk a tree together, and candidates held before the exact products thin them out.
+BLOCK, HELD = 512, 2_000_000
 
-class VpTree:
-    """points: n x d, of equal length (lifted). Nodes keep the range of distances to the vantage point on either side."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 512, seed: int = 0):
-        self.points, self.leaf = points, leaf
+class VpTree:
+    """points: n x d, of any length. Nodes keep the range of distances to the vantage point on either side.
+
+    A node is (leaf number, places) or (vantage, near range, near child, far range, far child).
+    """
+
+    def __init__(self, points: np.ndarray, leaf: int = 128, seed: int = 0):
+        n, d = points.shape
+        self.original, self.leaf, self.leaves = points, leaf, 0
+        self.scale = (float(np.abs(points).max()) if n else 0.0) or 1.0
+        scaled = points / self.scale
+        self.centre = scaled.mean(0) if n else np.zeros(d)
+        centred = scaled - self.centre
+        squares = (centred**2).sum(1)
+        self.length = float(np.sqrt(squares.max())) if n else 0.0
+        self.points = np.hstack([centred, np.sqrt(np.maximum(self.length**2 - squares, 0))[:, None]])
+        #: Bounds of rounding, in products and in distances.
+        self.product_slack = 8 * (d + 16) * np.finfo(float).eps * self.length * (self.length + float(np.sqrt((self.centre**2).sum())) + np.sqrt(d))
+        self.distance_slack = 4 * np.sqrt(self.product_slack)
         self.rng = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(points)))
+        self.root = self._build(np.arange(n))
 
     def _build(self, idx: np.ndarray):
         if len(idx) <= self.leaf:
-            return idx
-        vantage = int(idx[self.rng.integers(len(idx))])
-        d = np.sqrt(np.maximum(((self.points[idx] - self.points[vantage]) ** 2).sum(1), 0))
+            self.leaves += 1
+            return self.leaves - 1, idx
+        # Of some drawn points the vantage is that whose distances to some others spread most.
+        drawn, others = (self.points[self.rng.choice(idx, min(n, len(idx)), replace=False)] for n in (24, 256))
+        spread = (((drawn[:, None] - others[None]) ** 2).sum(2) ** 0.5).std(1)
+        vantage = int(idx[((self.points[idx] - drawn[spread.argmax()]) ** 2).sum(1).argmin()])
+        d = np.sqrt(((self.points[idx] - self.points[vantage]) ** 2).sum(1))
         order = np.argsort(d, kind="stable")
         idx, d, half = idx[order], d[order], len(idx) // 2
-        near, far = (d[0], d[half - 1]), (d[half], d[-1])
-        return vantage, near, self._build(idx[:half]), far, self._build(idx[half:])
+        return vantage, (d[0], d[half - 1]), self._build(idx[:half]), (d[half], d[-1]), self._build(idx[half:])
+
+    def exact(self, queries: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Products of original vectors, summed in the order of the components, so that equal vectors score equally wherever they stand."""
+        s = np.zeros(len(rows))
+        for j in range(queries.shape[1]):
+            s += self.original[places, j] * queries[rows, j]
+        return s
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """(inner products, places) of about k best and their close ties, -inf and -1 for none; and how many products were made.
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query, place, exact product) of each query's k best, best first, ties to smaller places; and how many products the tree made.
 
-        queries: lifted with 0 as the last coordinate. own: the place of each query itself, -1 if it has none.
+        own: the place of each query itself, -1 if it has none.
         """
-        keep = 2 * k + 32
-        n, length = len(queries), float((self.points[0] ** 2).sum()) if len(self.points) else 0.0
-        best, place = np.full((n, keep), -np.inf), np.full((n, keep), -1)
-        q2 = (queries**2).sum(1)
-        made = 0
-        slack = 1e-9 * (1 + np.sqrt(q2 * length))
-
-        def reach(rows: np.ndarray) -> np.ndarray:
-            """The distance within which a point could still be among the k best."""
-            s = -np.partition(-best[rows], k - 1, axis=1)[:, k - 1]
-            return np.where(np.isfinite(s), np.sqrt(np.maximum(q2[rows] + length - 2 * (s - slack[rows]), 0)), np.inf)
-
-        def visit(node, rows: np.ndarray) -> None:
+        n = len(queries)
+        empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if not n or not len(self.points) or not k:
+            return *empty, 0
+        size = np.abs(queries).max(1)
+        unit = queries / np.where(size > 0, size, 1)[:, None]
+        norm = np.sqrt((unit**2).sum(1))
+        q = np.hstack([unit * (self.length / np.where(norm > 0, norm, 1))[:, None], np.zeros((n, 1))])
+        best, kth = np.full((n, k), -np.inf), np.full(n, -np.inf)
+        home = np.full(n, -1)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        made = held = 0
+
+        def thinned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            rows, places, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
+            close = s >= kth[rows] - self.product_slack
+            rows, places, s = rows[close], places[close], s[close]
+            e = self.exact(queries, rows, places)
+            order = np.lexsort((places, -e, rows))
+            nth = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+            order = order[nth < k]
+            return rows[order], places[order], s[order]
+
+        def scan(rows: np.ndarray, places: np.ndarray) -> None:
+            nonlocal made, held, found
+            step = max(1, HELD // len(places))
+            for lo in range(0, len(rows), step):
+                some = rows[lo : lo + step]
+                s = q[some] @ self.points[places].T
+                made += s.size
+                if own is not None:
+                    s[own[some][:, None] == places[None, :]] = -np.inf
+                best[some] = np.partition(np.hstack([best[some], s]), -k, axis=1)[:, -k:]
+                kth[some] = best[some].min(1)
+                x, y = np.nonzero((s >= kth[some][:, None] - self.product_slack) & (s > -np.inf))
+                found.append((some[x], places[y], s[x, y]))
+                held += len(x)
+                if held > HELD:
+                    found = [thinned()]
+                    held = len(found[0][0])
+
+        def distance(rows: np.ndarray, vantage: int) -> np.ndarray:
             nonlocal made
+            made += len(rows)
+            return np.sqrt(np.maximum(2 * self.length**2 - 2 * (q[rows] @ self.points[vantage]), 0))
+
+        def descend(node, rows: np.ndarray) -> None:
             if not len(rows):
                 return
-            if isinstance(node, np.ndarray):
-                s = queries[rows] @ self.points[node].T
-                made += s.size
-                if own is not None:
-                    s[own[rows][:, None] == node[None, :]] = -np.inf
-                both, where = np.hstack([best[rows], s]), np.hstack([place[rows], np.broadcast_to(node, s.shape)])
-                top = np.argpartition(-both, keep - 1, axis=1)[:, :keep] if both.shape[1] > keep else np.broadcast_to(np.arange(keep), (len(rows), keep))
-                best[rows], place[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(where, top, 1)
+            if len(node) == 2:
+                home[rows] = node[0]
+                scan(rows, node[1])
                 return
             vantage, near, left, far, right = node
-            d = np.sqrt(np.maximum(q2[rows] + length - 2 * (queries[rows] @ self.points[vantage]), 0))
-            made += len(rows)
-            first = d <= (near[1] + far[0]) / 2
-
-            def open_(at: tuple[float, float], some: np.ndarray) -> np.ndarray:
-                bound = np.maximum(np.maximum(at[0] - d[some], d[some] - at[1]) - 1e-9, 0)
-                return rows[some][factor * bound <= reach(rows[some])]
-
-            a, b = np.flatnonzero(first), np.flatnonzero(~first)
-            visit(left, open_(near, a))
-            visit(right, open_(far, b))
-            visit(right, open_(far, a))
-            visit(left, open_(near, b))
-
-        visit(self.root, np.arange(n))
-        place[~np.isfinite(best)] = -1
-        return best, place, made
-
-
-def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(flat.flatten(), dtype=np.float64).reshape(n, -1)
-
-
-def search_block(points: pa.Table, queries: pa.Table, k: int, factor: float, leaf: int) -> pa.Table:
-    """The k best in one shard of each query in one block, by exact sums in double precision over the original vectors."""
-    n, m = points.num_rows, queries.num_rows
-    out: list[list] = [[], [], []]
-    if n and m:
-        x, q = _matrix(points.column("vector"), n), _matrix(queries.column("vector"), m)
-        ids, qids = points.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x, ids = x[order], ids[order]
-        squares = (x**2).sum(1)
-        lifted = np.hstack([x, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]])
-        at = np.minimum(np.searchsorted(ids, qids), n - 1)
-        own = np.where(ids[at] == qids, at, -1)
-        tree = VpTree(lifted, leaf)
-        for lo in range(0, m, 1024):
-            part = np.hstack([q[lo : lo + 1024], np.zeros((len(q[lo : lo + 1024]), 1))])
-            _, place, _ = tree.search(part, k, factor, own[lo : lo + 1024])
-            for i, found in enumerate(place):
-                found = found[found >= 0]
-                s = np.zeros(len(found))
-                for j in range(x.shape[1]):  # in this order, so that equal vectors score equally wherever they stand
-                    s += x[found, j] * q[lo + i, j]
-                top = np.lexsort((ids[found], -s))[:k]
-                out[0].append(np.full(len(top), qids[lo + i]))
-                out[1].append(ids[found][top])
-                out[2].append(s[top])
-    cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-    return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
+            first = distance(rows, vantage) <= (near[1] + far[0]) / 2
+            descend(left, rows[first])
+            descend(right, rows[~first])
+
+        def walk(node, rows: np.ndarray) -> None:
+            if not len(rows):
+                return
+            if len(node) == 2:
+                rows = rows[home[rows] != node[0]]
+                if len(rows):
+                    scan(rows, node[1])
+                return
+            vantage, near, left, far, right = node
+            d = distance(rows, vantage)
+            for (low, high), child in ((near, left), (far, right)):
+                bound = np.maximum(np.maximum(low - d, d - high) - self.distance_slack, 0)
+                reach = np.sqrt(np.maximum(2 * self.length**2 - 2 * (kth[rows] - self.product_slack), 0))
+                open_ = factor * bound <= reach
+                walk(child, rows[open_])
+
+        descend(self.root, np.arange(n))
+        walk(self.root, np.arange(n))
+        rows, places, _ = thinned()
+        return rows, places, self.exact(queries, rows, places), made
+
+
+def search_stream(batches: Iterator[pa.RecordBatch], k: int, factor: float, leaf: int) -> Iterator[pa.RecordBatch]:
+    """Rows of RESULT from rows (dim, shard, side, vec_id, row, vector) sorted in this order: of each shard its points (side 0), then its queries (side 1)."""
+    key, points, tree, ids, rows, by_row = None, [], None, None, None, None
+    for batch in filter(len, batches):
+        dims, shards, sides, vec_ids, row_ids = (np.asarray(batch.column(i)) for i in range(5))
+        changes = np.flatnonzero((np.diff(dims) != 0) | (np.diff(shards) != 0) | (np.diff(sides) != 0)) + 1
+        for lo, hi in zip([0, *changes.tolist()], [*changes.tolist(), len(dims)], strict=True):
+            now, d = (dims[lo], shards[lo]), int(dims[lo])
+            if now != key:
+                key, points, tree = now, [], None
+            x = np.asarray(batch.column(5).slice(lo, hi - lo).flatten(), dtype=np.float64).reshape(-1, d)
+            if sides[lo] == 0:
+                points.append((vec_ids[lo:hi], row_ids[lo:hi], x))
+                continue
+            if not points:
+                continue
+            if tree is None:
+                ids, rows, vectors = (np.concatenate(c) for c in zip(*points, strict=True))
+                by_row, points = np.argsort(rows, kind="stable"), [()]
+                tree = VpTree(vectors, leaf)
+            for at in range(lo, hi, BLOCK):
+                block = slice(at, min(hi, at + BLOCK))
+                mine = row_ids[block]
+                place = by_row[np.minimum(np.searchsorted(rows, mine, sorter=by_row), len(rows) - 1)]
+                own = np.where(rows[place] == mine, place, -1)
+                of, places, scores, _ = tree.search(x[at - lo : block.stop - lo], k, factor, own)
+                cols = mine[of], vec_ids[block][of], rows[places], ids[places], scores
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query", "query_id", "row", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -131,30 +197,30 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & v.isNotNull())
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = rows.where(~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.where(~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.0, shard_rows: int = 25_000, block_rows: int = 4_000, leaf: int = 512, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.0, shard_rows: int | None = None, leaf: int = 128, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest of each row for which the condition is_query over vec_id holds."""
-    rows = usable(vectors, id_col, vec_col)
-    same = Window.partitionBy("vector").orderBy("vec_id")
+    spark = vectors.sparkSession
+    # Row numbers are fixed by writing them.
+    rows = cut(usable(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    same = Window.partitionBy("vector").orderBy("vec_id", "row")
     points = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth")
-    queries = rows.where(is_query)
-    n, m = points.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    deal = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = points.withColumns({"dim": F.size("vector"), "shard": deal(1, shards)}).withColumn("block", every(blocks))
-    right = queries.withColumns({"dim": F.size("vector"), "block": deal(2, blocks)}).withColumn("shard", every(shards))
-    cols, key = ["dim", "shard", "block", "vec_id", "vector"], ["dim", "shard", "block"]
-
-    def run(points: pa.Table, queries: pa.Table) -> pa.Table:
-        return search_block(points, queries, k, factor, leaf)
-
-    found = left.select(cols).groupBy(*key).cogroup(right.select(cols).groupBy(*key)).applyInArrow(run, RESULT)
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n = rows.count()
+    shard_rows = shard_rows or min(max(n // (4 * spark.sparkContext.defaultParallelism), SHARD[0]), SHARD[1])
+    shards = max(1, -(-n // shard_rows))
+    left = points.withColumns({"dim": F.size("vector"), "side": F.lit(0), "shard": F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")})
+    right = rows.where(is_query).withColumns({"dim": F.size("vector"), "side": F.lit(1), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+    cols = ["dim", "shard", "side", "vec_id", "row", "vector"]
+    dealt = left.select(cols).union(right.select(cols)).repartition(4 * shards, "dim", "shard").sortWithinPartitions(*cols[:5])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return search_stream(batches, k, factor, leaf)
+
+    by_query = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    found = dealt.mapInArrow(run, RESULT).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def oracle(k: int = 20, every: int = 20) -> str:
