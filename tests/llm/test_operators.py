@@ -203,18 +203,43 @@ def test_token_counts_are_the_tokenizers_librarys():
 
 def test_vantage_point_trees_are_exact_at_factor_one():
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(3000, 8)) * rng.uniform(0.2, 3, (3000, 1))
+    x = rng.normal(size=(3000, 4)) * rng.uniform(0.8, 1, (3000, 1))
+    x /= np.sqrt((x**2).sum(1, keepdims=True)) * rng.uniform(1, 1.1, (3000, 1))
     x[50:90] = x[50]
-    squares = (x**2).sum(1)
-    tree = ann.VpTree(np.hstack([x, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]]), leaf=32)
-    q = np.hstack([x[:200], np.zeros((200, 1))])
+    tree = ann.VpTree(x, leaf=32)
     exact = np.sort(x[:200] @ x.T, axis=1)[:, ::-1][:, :20]
     made = {}
     for factor, least in ((1.0, 1.0), (1.5, 0.9)):
-        best, _, made[factor] = tree.search(q, 20, factor)
-        top = np.sort(best, axis=1)[:, ::-1][:, :20]
-        assert (np.isclose(top, exact)).mean() >= least
-    assert made[1.5] < made[1.0] < 200 * 3000
+        rows, _, scores, made[factor] = tree.search(x[:200], 20, factor)
+        assert (rows == np.repeat(np.arange(200), 20)).all() and (scores.reshape(200, 20) >= exact[:, -1:] - 1e-9).mean() >= least
+    assert made[1.5] < made[1.0] < 0.9 * 200 * 3000
+
+
+def test_recall_and_pruning_on_the_embeddings():
+    """These are all but isotropic in 64 dimensions: nothing can be skipped exactly; factor 6.5 skips a twentieth of all products."""
+    import pyarrow.parquet as pq
+
+    x = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_pylist(), float)
+    own = np.arange(0, len(x), 20)
+    s = x[own] @ x.T
+    s[np.arange(len(own)), own] = -np.inf
+    top = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    for factor, recall, share in ((1.0, 1.0, 1.05), (6.5, 0.9, 0.95)):
+        rows, places, _, made = ann.VpTree(x).search(x[own], 20, factor, own)
+        hit = np.zeros(s.shape, bool)
+        hit[rows, places] = True
+        assert hit[np.arange(len(own))[:, None], top].mean() >= recall and made < share * s.size
+
+
+def test_ties_go_to_the_smallest_ids(spark, monkeypatch):
+    """599 different vectors that all score 0, with few candidates held at a time; and rows that repeat an id."""
+    rows = [(0, [1.0, *[0.0] * 9])] + [(i, [0.0, *(float(i * k % 601) for k in range(1, 10))]) for i in range(1, 600)]
+    monkeypatch.setattr(ann, "HELD", 100)
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, shard_rows=200, leaf=16).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 0.0) for i in range(1, 21)]
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [2.0, 0.0]), (21, [0.5, 0.0]), (21, [0.5, 0.0])], "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(twice, F.col("vec_id") == 20).collect())
+    assert got == [(20, 1, 20, 2.0), (20, 1, 20, 2.0), (20, 2, 21, 0.5), (20, 2, 21, 1.0), (20, 3, 21, 0.5), (20, 3, 21, 1.0)]
 
 
 def test_odd_vectors(spark):
@@ -254,7 +279,8 @@ def test_near_duplicates_by_brute_force(spark):
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == {i: (find(i), len(s)) for i, s in enumerate(sets)}
 
 
-def test_near_duplicates_that_no_pivot_links(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [2, 64])
+def test_near_duplicates_that_no_pivot_links(spark, monkeypatch, hot):
     """A family without an original, whose pivots are withheld: 20 pairs of near copies, all pairs of which are alike at about 0.67."""
     rnd = random.Random(11)
     base, texts = [f"w{i}" for i in range(120)], []
@@ -267,7 +293,8 @@ def test_near_duplicates_that_no_pivot_links(spark, monkeypatch):
     assert all((100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) == (i // 2 == j // 2) for i in range(40) for j in range(i))
     pivots = near.candidates
     monkeypatch.setattr(near, "candidates", lambda keyed, seed: pivots(keyed, seed).where("false"))
-    monkeypatch.setattr(near, "BLOCK", 8, raising=False)
+    monkeypatch.setattr(near, "HOT", hot)
+    monkeypatch.setattr(near, "BLOCK", 8)
     got = near.components(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), 2, 80).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i in range(40)}
 
@@ -278,3 +305,66 @@ def test_passages_whose_seeds_older_documents_hold(spark):
     docs = [words[i : i + 5] for i in range(56)] + [[f"a{i}" for i in range(40)] + words + [f"b{i}" for i in range(40)], [f"c{i}" for i in range(40)] + words + [f"d{i}" for i in range(40)]]
     got = substring.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["start_word"], r["end_word"], r["ref_ids"]) for r in got] == [(57, 40, 100, [56])]
+
+
+def test_near_duplicates_under_one_template(spark):
+    """Pairs of near copies in one family, whose other pairs lie mostly below the similarity, by brute force over all pairs."""
+    rnd = random.Random(21)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for group in range(500):
+        first = list(base)
+        for at in rnd.sample(range(120), rnd.randint(7, 10)):
+            first[at] = f"g{rnd.randrange(3000)}"
+        texts += [first, [w if rnd.random() > 0.02 else f"y{group}" for w in first]]
+    sets = [np.array([hash(x) for x in {*zip(t, t[1:], strict=False)}]) for t in texts]
+    both = near.overlaps([np.unique(s).view(np.uint64) for s in sets], [np.unique(s).view(np.uint64) for s in sets])
+    size = np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (size[:, None] + size[None] - both)
+    top = np.arange(len(texts))
+    while (new := np.where(linked, top[None], len(texts)).min(1)).tolist() != top.tolist():
+        top = new
+    got = near.components(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), 2, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(top.tolist()))
+
+
+def test_overlaps_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(n)] for n in (7, 5))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert near.overlaps(a, b).tolist() == want
+    monkeypatch.setattr(near, "COLUMNS", 7)
+    assert near.overlaps(a, b).tolist() == want
+
+
+def test_rows_that_share_an_id(spark):
+    """Texts that share a doc_id are documents each: near_dedup keeps both, strip cuts a repeat out of the row that holds it."""
+    w = [f"w{i}" for i in range(60)]
+    texts = [w, [*w, *(f"a{i}" for i in range(50))], [f"b{i}" for i in range(30)], [f"c{i}" for i in range(30)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in zip((0, 1, 1, 2), texts, strict=True)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"].split()) for r in substring.strip(docs).collect()) == [(0, w), (1, texts[1][60:]), (1, texts[2]), (2, texts[3])]
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["ref_ids"]) for r in substring.passages(docs).collect()] == [(1, 0, 60, [0])]
+    again = docs.union(docs.where("doc_id = 1"))
+    assert sorted((r["doc_id"], r["text"].split()) for r in near.keep_one(again).collect()) == sorted(zip((0, 1, 1, 2), texts, strict=True))
+
+
+@pytest.mark.parametrize("identity", [1.0, 0.95, 0.9])
+def test_fuzzy_passages_by_brute_force(spark, identity):
+    """Passages of 60 to 100 words among common windows that older documents hold: all are found, nothing else is."""
+    rnd = random.Random(7)
+    word = lambda: f"v{rnd.randrange(10**6)}"
+    common = [[word() for _ in range(8)] for _ in range(30)]
+    fill = lambda n: [w for _ in range(n) for w in (rnd.choice(common) + [word() for _ in range(9)])]
+    docs, want = [fill(4) for _ in range(60)], {}
+    for _ in range(40):
+        passage = [word() if rnd.random() < 0.5 else w for w in fill(6)][: rnd.randint(60, 100)]
+        docs.append(fill(2) + passage + fill(2))
+        before = fill(2)
+        edited = [w if rnd.random() < identity else word() for w in passage]
+        want[len(docs)] = (len(before), len(before) + len(edited))
+        docs.append(before + edited + fill(2))
+    got = defaultdict(list)
+    for r in substring.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["start_word"], r["end_word"]))
+    assert set(got) <= set(want)
+    found = sum(any(a <= start + 8 and b >= end - 8 for a, b in got[d]) for d, (start, end) in want.items())
+    assert found >= (40 if identity == 1 else 38)
