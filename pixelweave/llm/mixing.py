@@ -4,17 +4,21 @@ A source with weight w of the mix and c of all characters C is repeated w * C /
 inverts the Poisson distribution with that mean at a uniform number hashed from the seed and the document's id, so a task run again
 gives the same copies. The copies are then dealt out and sorted by a hash of seed, id and copy: a global shuffle.
 
-Defined results: a null source is a source of its own; null and empty texts count no characters, and a source without any has rate
-`1`; rows with a null doc_id share one uniform number, repeated rows have equal counts; a source that `weights` leaves out has
-weight 0 and is dropped; an empty table gives an empty result. Columns of docs whose names clash with the added ones are replaced.
+Defined results: a null source is a source of its own, which `weights` may name by None; null and empty texts count no characters; a source without
+any has rate 1, unless `weights` gives it none; rows with a null doc_id share one uniform number, repeated rows have equal counts;
+a source that `weights` leaves out has weight 0 and is dropped, so weights that name no source present give an empty result; weights that are negative or
+not finite raise; very long texts are copied whole; an empty table gives an empty result. Columns of docs whose names clash with the added
+ones are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import whole_text
+from ._shared import cut, whole_text
 
 ADDED = ("rate", "copies", "copy", "mix_key")
 #: So many sources are broadcast with their distributions at most; with more of them an ordinary join is used.
@@ -27,17 +31,24 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5) -> DataFrame:
-    """(source, rate) by the given weights, or by the power of each source's characters."""
+def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5) -> DataFrame:
+    """(source, rate) by the given weights, or by the power of each source's characters: a small table in the shared folder, a row for each source."""
     sizes = docs.groupBy("source").agg(F.sum(F.length(whole_text())).alias("chars"))
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow(F.col("chars").cast("double"), F.lit(power)))
+        unmeasured = F.lit(1.0)
     else:
-        pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        sizes = sizes.withColumn("weight", F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(0.0)) if pairs else F.lit(0.0))
-    total = sizes.agg(F.sum("weight").alias("all weight"), F.sum("chars").alias("all chars"))
-    rate = F.col("weight") / F.col("all weight") * F.col("all chars") / F.col("chars")
-    return sizes.crossJoin(F.broadcast(total)).select("source", F.coalesce(F.when(F.col("chars") > 0, rate), F.lit(1.0)).alias("rate"))
+        if not all(math.isfinite(v) and v >= 0 for v in weights.values()):
+            raise ValueError("weights are finite numbers of at least 0")
+        pairs = [x for k, v in weights.items() if k is not None for x in (F.lit(k), F.lit(float(v)))]
+        named = F.create_map(*pairs)[F.col("source")] if pairs else F.lit(None).cast("double")
+        sizes = sizes.withColumn("weight", F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 0)))).otherwise(F.coalesce(named, F.lit(0.0))))
+        unmeasured = F.when(F.col("weight") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    sizes = cut(sizes, "sources")
+    # Weights of sources without characters have nothing to be spent on.
+    all_weight, all_chars = sizes.where("chars > 0").agg(F.sum("weight"), F.sum("chars")).first()
+    rate = F.col("weight") / F.lit(all_weight or 1.0) * F.lit(all_chars or 0).cast("long") / F.col("chars")
+    return sizes.select("source", F.when(F.col("chars") > 0, rate).otherwise(unmeasured).alias("rate"))
 
 
 def copies(rate: Column, u: Column) -> Column:
@@ -56,11 +67,11 @@ def copies(rate: Column, u: Column) -> Column:
     return F.when(rate <= 0, F.lit(0).cast("long")).otherwise(F.when(found >= 0, found).otherwise(last))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, seed: int = 17) -> DataFrame:
     """docs with each row as often as its count says, in a random order that the seed fixes; plus rate, copies, copy (from 1) and mix_key."""
     docs = docs.drop(*ADDED)
     table = rates(docs, weights, power)
-    small = docs.select("source").distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    small = table.count() <= MOST_BROADCAST
     rows = docs.join(F.broadcast(table) if small else table, docs["source"].eqNullSafe(table["source"])).drop(table["source"])
     rows = rows.withColumn("copies", copies(F.col("rate"), uniform(seed, F.col("doc_id"))))
     rows = rows.withColumn("copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))).otherwise(F.expr("cast(array() as array<bigint>)"))))
