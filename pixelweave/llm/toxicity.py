@@ -5,12 +5,14 @@ The lexicon holds whole words and word beginnings with their log odds, learned f
 an entry but are rare in toxic documents become exceptions. A logistic curve over the matched weight, plain and divided by the
 text's length, gives the score.
 
-Learning takes at most SAMPLE labelled rows (those with the smallest hash of their id); the lexicon has at most ENTRIES entries. Both are
-bounds of the model, not of what is scored: every whole text of the table is.
+Learning takes at most SAMPLE labelled documents (those with the smallest hash of their id), a bound of the model; every whole text of the
+table is scored. An entry needs LEAST toxic documents of the sample, log odds of LEAST_ODDS, and so many toxic ones among its documents that by
+chance less than one of all terms would have as many: rare words count too, and nothing else limits their number.
 
 Defined results: null and empty texts get the score of a text without matches; rows with a null doc_id are scored, are held out
-of nothing and teach nothing; repeated rows are scored each; without labels of both kinds the score is the share of toxic labels (0 if
-there are none); an empty table gives an empty result. Columns of docs that clash with added ones are replaced.
+of nothing and teach nothing; of labels that repeat a doc_id the highest counts, of documents that share a labelled doc_id the one with the smallest
+hash of its text teaches; repeated rows are scored each; very long texts are scored whole; without labels of both kinds the score is the share of
+toxic labels (0 if there are none); an empty table gives an empty result. Columns of docs that clash with added ones are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, remove, whole_text
 
-SAMPLE, ENTRIES = 20_000, 2_000
+SAMPLE = 20_000
+LEAST, LEAST_ODDS = 4, 2.5
 PREFIXES = range(4, 9)
 #: Letters that look like Latin ones, and what digits and signs stand for.
 LOOK_ALIKES = {
@@ -137,16 +140,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, least_odds: float = 2.5, least_share: float = 0.02) -> Model:
-    """A model from the labelled documents that are not held out.
-
-    An entry stands in at least `least_share` of the toxic documents of the sample (and in 4), with log odds of `least_odds` or more.
-    """
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = LEAST, least_odds: float = LEAST_ODDS) -> Model:
+    """A model from the labelled documents that are not held out."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # The sample is read again and again, the whole table only once.
-    texts = cut(docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(taken), "doc_id").select("toxic", "text"), "sample")
+    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(taken), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    texts = cut(texts.select("toxic", F.col("one.text").alias("text")), "sample")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Whole words, beginnings and pairs of each distinct text count once; "" counts the texts.
@@ -161,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
                 yield pa.RecordBatch.from_arrays([pa.array([*out], pa.string()), pa.array([n[0] for n in out.values()], pa.int64()), pa.array([n[1] for n in out.values()], pa.int64())], names=["term", "clean", "toxic"])
 
     counts = texts.dropDuplicates().mapInArrow(emit, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = cut(counts.where((F.col("clean") >= 4) | (F.col("toxic") >= 4)), "terms")
+    counts = cut(counts.where((F.col("clean") >= least) | (F.col("toxic") >= least)), "terms")
     per_class = texts.dropDuplicates().agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") > 0, 1))).first()
     n_clean, n_toxic = per_class
     if not n_clean or not n_toxic:
@@ -169,19 +171,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
         remove(counts)
         return Model(bias=30.0 if n_toxic else -30.0)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    enough = max(4, math.ceil(least_share * n_toxic))
     word_pair = F.col("term").rlike("^ [^ ]+ [^ ]+ $")
-    best = counts.where(~word_pair & (F.col("term") != "") & (F.col("toxic") >= enough)).withColumn("odds", odds).where(F.col("odds") >= least_odds).orderBy(F.desc("odds"), "term").limit(entries)
+    # The exponent of Chernoff's bound on so many of the term's documents being toxic by chance.
+    base, share = n_toxic / (n_clean + n_toxic), F.col("toxic") / (F.col("clean") + F.col("toxic"))
+    evidence = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    n_terms = counts.where(~word_pair).count()
+    best = counts.where(~word_pair & (F.col("term") != "") & (F.col("toxic") >= least)).withColumn("odds", odds).where((F.col("odds") >= least_odds) & (evidence >= math.log(max(2, n_terms))))
     weights = {r["term"]: r["odds"] for r in best.collect()}
-    pairs = counts.where(word_pair & (F.col("clean") >= 4) & (odds < 0)).select("term", "clean")
+    pairs = counts.where(word_pair & (F.col("clean") >= least) & (odds < 0)).select("term")
     found = Model(weights)
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([found.holds(t) for t in batch.column(0).to_pylist()], pa.bool_()))
 
-    excused = pairs.mapInArrow(inside, pairs.schema).orderBy(F.desc("clean"), "term").limit(entries)
-    model = Model(weights, [r["term"] for r in excused.collect()] if weights else [])
+    model = Model(weights, sorted(r["term"] for r in pairs.mapInArrow(inside, pairs.schema).collect()) if weights else [])
     remove(counts)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
