@@ -1,10 +1,11 @@
 """Quality rules as one native projection: a table of thresholds compiled into Spark expressions, no user functions.
 
 Words are runs of anything but space and U+0009 to U+000D. Repeated 5-word windows are found without a shuffle: each window's 64-bit
-hash gives up its low bits to the window's place, the packed numbers are sorted, and equal neighbours are compared as words.
+hash gives up its low bits to the window's place (an array has fewer than 2 ** 31), the packed numbers are sorted, and neighbours of equal hash are compared as words.
+Windows of equal hash that differ from both neighbours are compared with all of their hash; there are hardly any.
 
 Defined results: a null or empty text has no words and fails the base rules; every row is judged alone, so repeated rows get equal
-results; a null doc_id stays null; an empty table gives an empty result; other columns are left out. Cost is n log n in a text's words.
+results; a null doc_id stays null; very long texts are taken whole; an empty table gives an empty result; other columns are left out. Cost is n log n in a text's words.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ STOP_WORDS = (
     "el los las y en que por con para una un se del no su al lo como más es",
 )
 BREAKS = "[\\x20\\x09-\\x0D]+"
-PLACE_BITS = 24
+#: Bits of a window's place.
+PLACE_BITS = 31
+#: Further bits of the hash to leave out; for tests of unequal windows with equal hashes.
+HASH_LOSS = 0
 
 
 @dataclass(frozen=True)
@@ -68,25 +72,24 @@ def _repeat_words(size: int) -> dict[str, Column]:
     """Columns, to be added in this order, that end in n_repeat_words."""
     w = F.col("words")
     mask = (1 << PLACE_BITS) - 1
+    none = F.expr("cast(array() as array<bigint>)")
     places = F.when(F.col("n_words") >= size, F.sequence(F.lit(0), (F.col("n_words") - size).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
-    hashed = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])
-    packed = F.sort_array(F.transform(places, lambda i: hashed(i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
+    hashed = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]).bitwiseAND(F.lit(~mask << HASH_LOSS))
+    packed = F.sort_array(F.transform(places, lambda i: hashed(i).bitwiseOR(i.cast("long"))))
     place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
-    p = F.col("packed")
-    twin = lambda x, y: (F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)) & (F.slice(w, place(x) + 1, F.lit(size)) == F.slice(w, place(y) + 1, F.lit(size)))
-    found = F.filter(p, lambda x, i: F.coalesce(twin(x, F.get(p, i - 1)), F.lit(False)) | F.coalesce(twin(x, F.get(p, i + 1)), F.lit(False)))
-    # Beyond the places that fit into the low bits: (hash, place) pairs, slower.
-    pairs = F.array_sort(F.transform(places, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
-    q = F.col("pairs")
-    found_pairs = F.transform(F.filter(q, lambda x, i: F.coalesce(F.get(q, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(q, i + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"])
-    long = F.col("n_words") > mask
+    alike = lambda x, y: F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)
+    twin = lambda x, y: alike(x, y) & (F.slice(w, place(x) + 1, F.lit(size)) == F.slice(w, place(y) + 1, F.lit(size)))
+    beside = lambda a, f: lambda x, i: F.coalesce(f(x, F.get(a, i - 1)), F.lit(False)) | F.coalesce(f(x, F.get(a, i + 1)), F.lit(False))
+    p, t, u = F.col("packed"), F.col("twins"), F.col("unlike")
+    elsewhere = F.when(F.size(u) > 0, F.filter(u, lambda x: F.exists(t, lambda y: (x != y) & twin(x, y)))).otherwise(none)
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     # Each window adds what lies beyond the end of those before it.
     covered = F.aggregate("repeats", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(size).cast("long"), i + size - a["end"])).alias("n"), (i + size).cast("long").alias("end")))
     return {
-        "packed": F.when(~long, packed),
-        "pairs": F.when(long, pairs),
-        "repeats": F.coalesce(F.sort_array(F.transform(F.when(~long, found), place)), F.sort_array(F.when(long, found_pairs))),
+        "packed": packed,
+        "twins": F.filter(p, beside(p, alike)),
+        "unlike": F.filter(t, lambda x, i: ~beside(t, twin)(x, i)),
+        "repeats": F.sort_array(F.transform(F.concat(F.array_except(t, u), elsewhere), place)),
         "n_repeat_words": covered["n"],
     }
 
@@ -113,7 +116,7 @@ def measure(docs: DataFrame, size: int = 5) -> DataFrame:
     )
     for name, value in _repeat_words(size).items():
         out = out.withColumn(name, value)
-    return out.drop("whole text", "words", "lines", "packed", "pairs", "repeats")
+    return out.drop("whole text", "words", "lines", "packed", "twins", "unlike", "repeats")
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
