@@ -1,27 +1,45 @@
-"""Folders that the driver and all executors share, and tables written there to cut lineage."""
+"""Folders that the driver and all executors share, and tables written there to cut lineage.
+
+Tables and files that operators write there are read until their results have been used: remove_all() deletes them then.
+"""
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or where that is unset (local tests) an own temporary one."""
+    """The cluster's shared folder: spark.checkpoint.dir, or where that is unset and the master local an own temporary one. Its scheme is spelt out."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="pixelweave-")
         spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(known)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full).rstrip("/")
+
+
+_MADE: list[str] = []
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def files_at(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system for a path in the shared folder. It knows file, hdfs, viewfs, gs, abfs and s3 (also for s3a and s3n)."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -35,10 +53,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def remove(df: DataFrame) -> None:
     """Deletes the table behind a frame that cut() returned, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_pixelweave_path", None)
-    if path:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path := getattr(df, "_pixelweave_path", None):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def remove_all(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Deletes what the operators have written to the shared folder, but for the table of one frame. No other frame they returned can be read then."""
+    kept = getattr(but, "_pixelweave_path", None)
+    for path in [p for p in _MADE if p != kept]:
+        _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:

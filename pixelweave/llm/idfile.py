@@ -1,7 +1,7 @@
 """Token ids in files of byte or bit planes.
 
-A file holds the documents of one partition in ascending order. Its ids are cut into blocks of a fixed number of ids; each block
-is transposed into four byte planes or 32 bit planes, each plane compressed alone with zstandard. Layout, all little-endian:
+A file holds documents of one partition in ascending order, and about `most_ids` ids. Its ids are cut into blocks of a fixed number of ids; each block
+is transposed into four byte planes or 32 bit planes, each plane compressed alone with zstandard, which adds a checksum. Layout, all little-endian:
 
     "PWID" | version u32 | planes in a block u32 | ids in a block u32
     planes, one after the other
@@ -10,11 +10,13 @@ is transposed into four byte planes or 32 bit planes, each plane compressed alon
     number of blocks u64 | number of documents u64 | offset of the index u64 | crc32 of index and documents u32 | "PWIX"
 
 Defined results: a null text is empty and holds the end id alone; documents with equal ids keep an order by text; a null doc_id
-raises, as the order is by doc_id; an empty table gives no files and no rows; other columns are left out.
+raises, as the order is by doc_id; rows that repeat a doc_id are documents each, in the order of their texts; a very long text is held in memory
+whole, with its ids; an empty table gives no files and no rows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -22,21 +24,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_dir, whole_text
+from ._shared import files_at, fresh_dir, whole_text
 from .bpe import byte_letters
 
 HEAD, TAIL = struct.Struct("<4sIII"), struct.Struct("<QQQI4s")
 #: A worker forgets its words beyond so many; speed only.
 CACHE = 400_000
 _MADE: dict[int, tuple] = {}
-#: Fixed value: the pretokens of the word tokenizer.
-PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The pretokens of the word tokenizer; normalizer and pretokenizer as its file has them.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+FORM = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+PRETOKENS = regex.compile(PATTERN)
 LETTERS = dict(enumerate(byte_letters()))
 
 
@@ -61,7 +73,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 class IdFileWriter:
     def __init__(self, sink, block: int = 65_536, bits: bool = False, level: int = 3):
         self.sink, self.block, self.bits = sink, block, bits
-        self.zip = zstandard.ZstdCompressor(level=level)
+        self.zip = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.at, self.index, self.docs, self.waiting, self.held = 0, [], [], [], 0
         self._put(HEAD.pack(b"PWID", 1, 32 if bits else 4, block))
 
@@ -138,12 +150,20 @@ class IdFileReader:
             yield doc_id, np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
+def check_form(content: bytes) -> None:
+    """Raises for a tokenizer file with other steps before its model than those that encode_words() relies on."""
+    spec = json.loads(content)
+    if [spec.get("normalizer"), spec.get("pre_tokenizer")] != FORM:
+        raise ValueError("this tokenizer normalizes or splits texts in another way than encode_words()")
+
+
 def encode_words(texts: list[str], content: bytes) -> list[bytes]:
     """Each text's ids as little-endian u32. The tokenizer drops white space and never joins across it, so words are encoded one by one and remembered."""
     key = zlib.crc32(content)
     if key not in _MADE:
         from tokenizers import Tokenizer
 
+        check_form(content)
         own = Tokenizer.from_buffer(content)
         own.no_truncation()
         own.no_padding()
@@ -171,8 +191,8 @@ def encode_words(texts: list[str], content: bytes) -> list[bytes]:
     return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, block: int = 65_536, bits: bool = False, partitions: int | None = None) -> DataFrame:
-    """Writes the files and returns their list (part int, file string, n_docs long, n_ids long), ordered parts holding ascending doc_ids.
+def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, block: int = 65_536, bits: bool = False, partitions: int | None = None, most_ids: int = 1 << 26) -> DataFrame:
+    """Writes the files and returns their list (part int, nth int, file string, n_docs long, n_ids long), which holds ascending doc_ids in the order of part and nth.
 
     A task writes to a name of its own attempt, so that a task run again or twice leaves no half-written file in the list.
     """
@@ -183,10 +203,13 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, block: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        fs, out = None, None
-        name = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.pwid"
-        docs_n = ids_n = 0
+        part, nth, out = TaskContext.get().partitionId(), 0, None
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            out.sink.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "nth": pa.array([nth], pa.int32()), "file": [name], "n_docs": [len(out.docs)], "n_ids": [ids_n]})
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 rows = batch.slice(lo, 1000)
@@ -194,23 +217,23 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, block: int =
                     if doc_id is None:
                         raise ValueError("a document without doc_id has no place in the order")
                     if out is None:
-                        fs, at = pafs.FileSystem.from_uri(name)
+                        name, ids_n = f"{folder}/ids-{part:06d}-{nth:06d}-{uuid.uuid4().hex}.pwid", 0
+                        fs, at = files_at(name)
                         fs.create_dir(at.rpartition("/")[0], recursive=True)
-                        sink = fs.open_output_stream(at)
-                        out = IdFileWriter(sink, block, bits)
+                        out = IdFileWriter(fs.open_output_stream(at), block, bits)
                     ids = np.append(np.frombuffer(raw, "<u4"), np.array([end_id], "<u4"))
                     out.add(doc_id, ids)
-                    docs_n, ids_n = docs_n + 1, ids_n + len(ids)
+                    ids_n += len(ids)
+                    if ids_n >= most_ids:
+                        yield closed()
+                        out, nth = None, nth + 1
         if out is not None:
-            out.close()
-            sink.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [docs_n], "n_ids": [ids_n]})
+            yield closed()
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    listed = dealt.mapInArrow(run, "part int, file string, n_docs long, n_ids long")
-    return listed
+    return dealt.mapInArrow(run, "part int, nth int, file string, n_docs long, n_ids long")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -219,7 +242,7 @@ def read(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                fs, at = pafs.FileSystem.from_uri(name)
+                fs, at = files_at(name)
                 rows, start = [], base
                 with fs.open_input_file(at) as source:
                     for doc_id, ids in IdFileReader(source):
@@ -239,10 +262,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def roundtrip(docs: DataFrame, path: str, **options) -> DataFrame:
-    """write() and read() through a folder in the shared one. The list of files, a row for each partition, goes through the driver."""
+    """write() and read() through a folder in the shared one. The list of files, a row for each, goes through the driver."""
     spark = docs.sparkSession
     listed = sorted(tuple(r) for r in write(docs, path, fresh_dir(spark, "ids"), **options).collect())
-    bases = np.cumsum([0, *(r[3] for r in listed)]).tolist()
-    rows = [(r[1], b) for r, b in zip(listed, bases, strict=False)]
+    bases = np.cumsum([0, *(r[4] for r in listed)]).tolist()
+    rows = [(r[2], b) for r, b in zip(listed, bases, strict=False)]
     files = spark.createDataFrame(rows, "file string, base long")
     return read(files.repartition(max(1, len(rows))) if rows else files)

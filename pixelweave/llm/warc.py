@@ -1,13 +1,13 @@
 """WARC archives in zstandard: a dictionary in a leading skippable frame, then one frame for each record.
 
-Writer: payloads with equal SHA-1 and at least `least` bytes are stored once, in the record with the largest page_id (response); the
+Writer: payloads with equal SHA-256 and at least `least` bytes are stored once, in the record with the largest page_id (response); the
 others are revisit records that refer to it. A task writes archives of bounded size under names of its own attempt; only the names
 in the returned list are ever read, so a task run again or twice adds nothing.
 Reader: takes one frame at a time, checks the version line, the named fields, the content length, the end mark and the digest.
 
 Defined results: a null html is the empty payload; a null url gives a record without target; rows that repeat a page_id are records
-each, and all that hold the largest page_id of their payload are responses; a null page_id raises, as revisits refer by it; an empty
-table gives no archive and no rows; other columns are left out.
+each, and all that hold the largest page_id of their payload are responses; a null page_id raises, as revisits refer by it; a very long
+payload is one record, held in memory whole; an empty table gives no archive and no rows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -19,12 +19,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_dir
+from ._shared import files_at, fresh_dir
 
 #: Fixed values of the format: the skippable frame's magic number and a dictionary's.
 SKIPPABLE, DICTIONARY = 0x184D2A5D, 0xEC30A437
@@ -148,7 +147,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, most_bytes: int = 64 <<
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     taken = [record(0, "http://", bytes(r[0])) for r in rows.select(F.substring("payload", 1, sample_bytes)).limit(samples).collect()]
     dictionary = pages.sparkSession.sparkContext.broadcast(train(taken))
-    rows = rows.withColumn("digest", F.sha1("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
     # Only digests travel to find each payload's last page; the join's large keys are split by adaptive execution.
     last = rows.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
     rows = rows.join(last, "digest", "left").withColumn("refers_to", F.expr(f"CASE WHEN length(payload) >= {least} AND last <> page_id THEN last END"))
@@ -163,7 +162,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, most_bytes: int = 64 <<
                     raise WarcError("a page without page_id can't be referred to")
                 if out is None:
                     name, n = f"{folder}/{uuid.uuid4().hex}.warc.zst", 0
-                    fs, at = pafs.FileSystem.from_uri(name)
+                    fs, at = files_at(name)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     sink = fs.open_output_stream(at)
                     out = ArchiveWriter(sink, dictionary.value)
@@ -190,7 +189,7 @@ def read(files: DataFrame) -> DataFrame:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for batch in batches:
             for name, n in zip(batch.column("file").to_pylist(), batch.column("n_records").to_pylist(), strict=True):
-                fs, at = pafs.FileSystem.from_uri(name)
+                fs, at = files_at(name)
                 rows, seen = [], 0
                 with fs.open_input_stream(at) as source:
                     for raw in read_records(source):
