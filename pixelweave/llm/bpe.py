@@ -26,6 +26,8 @@ from ._shared import whole_text
 
 #: Fixed value: the pattern of the byte-level pretokenizer.
 PRETOKENS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: What a model may not have.
+OPTIONS = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
 #: A worker forgets its chunks beyond so many; speed only.
 CACHE = 150_000
 
@@ -47,6 +49,10 @@ class PairIndexBPE:
 
     def __init__(self, content: bytes):
         spec = json.loads(content)
+        form = spec.get("pre_tokenizer") or {}
+        plain = not any(spec["model"].get(k) for k in OPTIONS) and not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if spec.get("normalizer") or form.get("type") != "ByteLevel" or form.get("add_prefix_space") or not form.get("use_regex", True) or not plain:
+            raise ValueError("only plain byte-level BPE is encoded: no normalizer, no prefix space, the pattern of the library, no options of the model")
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         self.byte_id = [vocab[x] for x in letters]

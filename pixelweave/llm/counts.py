@@ -5,7 +5,8 @@ pieces. Ties as in the tokenizers library: at each position the candidates come
 a larger score, and the unknown piece of one character is tried when no vocabulary piece of one character begins there. Adjacent unknown
 characters fuse into one piece, which byte fallback turns into one token for each byte.
 
-The vocabulary is that of a sentencepiece file with its own scores, read as a unigram model; nothing is trained.
+The vocabulary is that of a sentencepiece file with its own scores, read as a unigram model; nothing is trained. Of a BPE file these scores
+are ranks of merges: the counts are those of a unigram model with such scores, not of that file's own merging.
 
 Defined results: null and empty texts have 0 tokens and score 0; other columns are left out; repeated rows are counted each; an
 empty table gives an empty result. Texts are counted whole; a word's cost is its length times its matches.
