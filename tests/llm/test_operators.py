@@ -103,6 +103,37 @@ def test_folding_and_held_out_accuracy(spark):
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.95 * len(got)
 
 
+def test_toxicity_by_brute_force(spark):
+    """The query's scores are those of its model by plain search for each entry; a rare word with clear evidence is learned; labels of held-out rows are not."""
+    docs = [(i, " ".join(["fine", "words", f"w{i}", "zorgish" if i % 40 == 1 else "plain", "not zorgish" if i == 5 else ""])) for i in range(600)]
+    docs += [(600, "Z0RGISH"), (601, "zorgishly so"), (602, None), (603, "")]
+    labels = [(i, 1, int(i % 40 == 1)) for i in range(0, 600)]
+    flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    learned = [toxicity.learn(d, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in (labels, flipped)]
+    assert learned[0] == learned[1] and " zorgish " in learned[0].weights
+    model = toxicity.Model({" bad ": 3.0, " badl": 2.0, " aw": 1.5, " b": 0.5}, [" not bad "], -2.0, (1.5, 0.2))
+
+    def plain(text):
+        folded = toxicity.fold(text or "")
+        at = {}
+        for entry, w in model.weights.items():
+            for i in range(len(folded)):
+                if folded.startswith(entry, i):
+                    at[i] = max(at.get(i, 0.0), w)
+        for phrase in model.exceptions:
+            for i in range(len(folded)):
+                if folded.startswith(phrase, i):
+                    at = {a: w for a, w in at.items() if not i <= a < i + len(phrase) - 1}
+        total = sum(at.values())
+        return 1 / (1 + np.exp(2.0 - 1.5 * np.log1p(total) - 0.2 * 100 * total / (20 + folded.count(" "))))
+
+    texts = [None, "", "bad", "not bad", "not bad but bad", "badly awful bad bad", "B4D аwful", "so not b4d at all, awe"]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(100).collect()]
+    got = toxicity.score(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), model).collect()
+    assert all(r["score"] == pytest.approx(plain(r["text"]), abs=1e-12) for r in got) and len(got) == len(texts)
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "x"), (2, None, "x"), (3, "http://c\r\n", ""), (4, "u", None), (5, "u", "é" * 9000)]
     got = {r["page_id"]: r for r in warc.roundtrip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -124,6 +155,16 @@ def test_warc(spark):
             warc.row(*warc.parse(bad))
 
 
+def test_warc_of_odd_rows(spark):
+    """Rows that repeat a page_id, ties for the largest one, null page_ids and columns with the operator's own names."""
+    cols = "page_id long, url string, html string, payload string, digest int, last long, refers_to string"
+    rows = [(1, "u", "x"), (1, "u", "x"), (7, "u", "x"), (7, None, "x"), (3, "u", "other"), (3, "u", "x" * 100_000)]
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.roundtrip(spark.createDataFrame([(*r, "p", 1, 2, "r") for r in rows], cols)).collect())
+    assert got == sorted([(1, 1, "revisit", 7)] * 2 + [(7, 1, "response", None)] * 2 + [(3, 5, "response", None), (3, 100_000, "response", None)], key=lambda r: r[:3])
+    with pytest.raises(Exception, match="page_id"):
+        warc.roundtrip(spark.createDataFrame([(None, "u", "x")], "page_id long, url string, html string")).collect()
+
+
 @pytest.mark.parametrize("name", ["op3_warc", "op4_quality_rules", "op5_source_mixing", "op8_nearest_vectors"])
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
@@ -138,12 +179,22 @@ def test_agrees_with_sql(spark, name):
     assert cols == sorted(theirs.columns) and rows(ours) == rows(theirs)
 
 
-def test_repeated_windows_of_long_texts(spark, monkeypatch):
-    """The path beyond the packed places agrees with the packed one."""
-    docs = spark.createDataFrame([(1, "a b c d e x a b c d e y a b c d e"), (2, "p " * 40), (3, "q r s")], "doc_id long, text string")
-    want = {r["doc_id"]: r["n_repeat_words"] for r in quality.judge(docs).collect()}
-    monkeypatch.setattr(quality, "PLACE_BITS", 3)
-    assert {r["doc_id"]: r["n_repeat_words"] for r in quality.judge(docs).collect()} == want == {1: 15, 2: 40, 3: 0}
+def test_repeated_windows_whose_hashes_are_equal(spark, monkeypatch):
+    """With three bits of each hash left, unequal windows stand between equal ones."""
+    rnd = random.Random(8)
+    texts = ["a b c d e x a b c d e y a b c d e", "p " * 40, "q r s", *(" ".join(rnd.choice("abc") for _ in range(rnd.randint(5, 400))) for _ in range(30)), *(" ".join(rnd.choice("abcdefgh") for _ in range(300)) for _ in range(5))]
+
+    def brute(t):
+        w = t.split()
+        at = defaultdict(list)
+        for i in range(len(w) - 4):
+            at[tuple(w[i : i + 5])].append(i)
+        return len({i + k for x in at.values() if len(x) > 1 for i in x for k in range(5)})
+
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for loss in (0, 30):
+        monkeypatch.setattr(quality, "HASH_LOSS", loss)
+        assert {r["doc_id"]: r["n_repeat_words"] for r in quality.judge(docs).collect()} == {i: brute(t) for i, t in enumerate(texts)}
 
 
 def test_poisson_counts(spark):
@@ -159,6 +210,17 @@ def test_mixing_to_weights(spark):
     assert {r["source"] for r in mixing.mix(docs, {"b": 1.0}).select("source").distinct().collect()} == {"b"}
 
 
+def test_weights_that_name_no_source_and_sources_without_text(spark):
+    docs = spark.createDataFrame([(1, "x" * 100, "a"), (2, "", "b"), (3, None, "c"), (4, "y" * 100, None)], "doc_id long, text string, source string")
+    assert mixing.mix(docs, {}).count() == mixing.mix(docs, {"z": 1.0}).count() == 0
+    rate = lambda w: {r["source"]: r["rate"] for r in mixing.rates(docs, w).collect()}
+    assert rate({"a": 3.0, "b": 2.0, None: 1.0}) == {"a": 1.5, "b": 1.0, "c": 0.0, None: 0.5}
+    assert rate({"b": 1.0}) == {"a": 0.0, "b": 1.0, "c": 0.0, None: 0.0}
+    assert rate(None) == {"a": 1.0, "b": 1.0, "c": 1.0, None: 1.0}
+    with pytest.raises(ValueError):
+        mixing.rates(docs, {"a": -1.0})
+
+
 def odd_texts():
     rnd = random.Random(1)
     texts = ["", "  a   b \n c  \n\n  d", "<|endoftext|>x <|startoftext|> y", " lead  x", "tail  ", "à é 日本語 😀 it's we'll", "▁ x▁y  z", "a" * 700, "\x1c\x1dx \x85y\x00z", "İß ΣΑΣ"]
@@ -180,14 +242,35 @@ def test_id_files(spark):
 
     ref, texts = Tokenizer.from_file(TOKENS["word_bpe_49k.json"]), odd_texts()
     want = [[*e.ids, 1] for e in ref.encode_batch(texts, add_special_tokens=False)]
-    for bits in (False, True):
-        got = idfile.roundtrip(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), TOKENS["word_bpe_49k.json"], block=128, bits=bits).orderBy("doc_id").collect()
+    for bits, most in ((False, 1 << 26), (True, 300)):
+        got = idfile.roundtrip(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), TOKENS["word_bpe_49k.json"], block=128, bits=bits, most_ids=most).orderBy("doc_id").collect()
         start = 0
         for r, ids in zip(got, want, strict=True):
             assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
             start += len(ids)
 
 
+def test_id_files_of_odd_rows(spark):
+    """Rows that share a doc_id come in the order of their texts; a null doc_id and a damaged plane raise."""
+    docs = spark.createDataFrame([(2, "b c"), (1, "z"), (2, "a"), (2, None)], "doc_id long, text string")
+    got = [tuple(r) for r in idfile.roundtrip(docs, TOKENS["word_bpe_49k.json"]).orderBy("start").collect()]
+    assert [r[:3] for r in got] == [(1, 0, 2), (2, 2, 1), (2, 3, 2), (2, 5, 3)]
+    with pytest.raises(Exception, match="without doc_id"):
+        idfile.roundtrip(docs.union(spark.createDataFrame([(None, "x")], docs.schema)), TOKENS["word_bpe_49k.json"]).collect()
+    out = io.BytesIO()
+    w = idfile.IdFileWriter(out, 4)
+    w.add(1, np.arange(6, dtype="<u4"))
+    w.close()
+    assert [(i, x.tolist()) for i, x in idfile.IdFileReader(io.BytesIO(out.getvalue()))] == [(1, [*range(6)])]
+    for bad in (out.getvalue()[:20] + b"\x00" + out.getvalue()[21:], out.getvalue()[:-9] + b"\x00" * 9):
+        with pytest.raises(Exception):
+            [*idfile.IdFileReader(io.BytesIO(bad))]
+    with pytest.raises(ValueError, match="another way"):
+        idfile.check_form(open(TOKENS["byte_bpe_50k.json"], "rb").read())
+    with pytest.raises(ValueError, match="plain byte-level"):
+        bpe.PairIndexBPE(open(TOKENS["word_bpe_49k.json"], "rb").read())
+
+
 def test_token_counts_are_the_tokenizers_librarys():
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -368,3 +451,89 @@ def test_fuzzy_passages_by_brute_force(spark, identity):
     assert set(got) <= set(want)
     found = sum(any(a <= start + 8 and b >= end - 8 for a, b in got[d]) for d, (start, end) in want.items())
     assert found >= (40 if identity == 1 else 38)
+
+
+def test_token_queries_are_the_libraries(spark):
+    """The queries' digests and counts over a whole table, by the libraries themselves."""
+    import hashlib
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    own = Tokenizer.from_file(TOKENS["byte_bpe_50k.json"])
+    own.no_truncation()
+    own.no_padding()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = Q.op6_bpe(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = own.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(own.decode(ids, skip_special_tokens=False)))
+    unigram = Tokenizer(models.Unigram(counts.vocabulary(TOKENS["piece_bpe_32k.model"]), unk_id=0, byte_fallback=True))
+    unigram.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
+    got = {r["doc_id"]: r["n_tokens"] for r in Q.op10_token_counts(spark, SF).collect()}
+    assert got == {i: len(unigram.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Each stage on its predecessor's rows: the model's verdicts, components of all pairs, exact repeats, counts by inverted sums, the library's ids."""
+    import hashlib
+    import math
+
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(13)
+    text = lambda n: " ".join(f"v{rnd.randrange(900)}" for _ in range(n))
+    shared, rows = text(70), []
+    for i in range(150):
+        rows.append((i, text(rnd.randint(30, 120)), "en", f"s{i % 3}"))
+    for i in range(150, 175):
+        words = rows[i - 150][1].split()
+        words[rnd.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(words) if i % 2 else rows[i - 150][1], "en", "s0"))
+    rows += [(i, f"{text(40)} {shared} {text(40)}", "en", "s1") for i in range(175, 185)]
+    rows += [(i, f"{text(40)} vilest filth {text(10)}", "de", "s2") for i in range(185, 225)]
+    rows += [(225, None, None, None), (226, "", "en", "s1"), (None, text(30), "en", "s2")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, int("vilest" in (r[1] or ""))) for r in rows if r[0] is not None and r[0] % 3], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out, now = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES:
+        now = P.cut(stage(spark, now, str(tmp_path)), f"test-{name}")
+        out[name] = now.collect()
+    ids = lambda name: sorted((r["doc_id"] for r in out[name]), key=str)
+    assert ids("toxicity") == sorted((r[0] for r in rows if "vilest" not in (r[1] or "")), key=str)
+
+    def alike(a, b):
+        x, y = ({*zip(*(t.split()[k:] for k in range(5)), strict=False)} for t in (a, b))
+        return x and 100 * len(x & y) >= 80 * len(x | y)
+
+    kept = [r for r in out["toxicity"] if r["doc_id"] is None or not any(q["doc_id"] is not None and q["doc_id"] < r["doc_id"] and alike(q["text"] or "", r["text"] or "") for q in out["toxicity"])]
+    assert ids("near_dedup") == sorted((r["doc_id"] for r in kept), key=str)
+    was = {r["doc_id"]: r["text"] for r in out["near_dedup"]}
+    for r in out["substring_dedup"]:
+        repeat = r["doc_id"] is not None and 175 < r["doc_id"] < 185
+        assert r["text"] == (was[r["doc_id"]].replace(shared + " ", "") if repeat else was[r["doc_id"]]) and r["n_chars"] == (r["text"] if r["text"] is None else len(r["text"]))  or r["text"] is None
+    assert len(out["substring_dedup"]) == len(was)
+    chars = defaultdict(int)
+    for r in out["substring_dedup"]:
+        chars[r["source"]] += len(r["text"] or "")
+    total, spent = sum(math.sqrt(c) for c in chars.values()), sum(chars.values())
+    want = defaultdict(int)
+    for r in out["substring_dedup"]:
+        rate = math.sqrt(chars[r["source"]]) / total * spent / chars[r["source"]] if chars[r["source"]] else 1.0
+        u = (int(hashlib.md5(f"17:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        k, p = 0, math.exp(-rate)
+        c = p
+        while c < u:
+            k, p = k + 1, p * rate / (k + 1)
+            c += p
+        want[r["doc_id"]] += k
+    got = defaultdict(int)
+    for r in out["source_mixing"]:
+        got[r["doc_id"]] += 1
+    assert dict(got) == {i: n for i, n in want.items() if n}
+    own = Tokenizer.from_file(TOKENS["byte_bpe_50k.json"])
+    encoded = sorted((str(r["doc_id"]), hashlib.sha256(",".join(map(str, own.encode(r["text"] or "", add_special_tokens=False).ids)).encode()).hexdigest()) for r in out["source_mixing"])
+    assert sorted((str(r["doc_id"]), r["ids_sha256"]) for r in out["bpe"]) == encoded
