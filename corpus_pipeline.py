@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input.
+
+Defined results: rows with a null doc_id, null or empty texts stay in every stage (mixing repeats or drops them like others); rows that share a doc_id
+are rows each, those equal in doc_id and text are copies of which near_dedup keeps one; very long texts are taken whole; an empty table
+gives an empty table; other columns, whatever their names, pass the stages unchanged, but for the last one, which returns digests.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm import bpe, mixing, near, queries, substring, toxicity
-from pixelweave.llm._shared import cut, table
+from pixelweave.llm._shared import cut, remove_all, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage reads or wrote on its way is deleted once its own table is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove_all(spark, but=docs)
     return docs
