@@ -111,16 +111,27 @@ def entries(reps: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, need: DataFrame, size: int) -> DataFrame:
-    """(id, s): the sorted 64-bit shingle hashes of the texts that need (id, doc_id, th) names, one row for each id."""
+    """(id, s): the sorted 64-bit shingle hashes of the texts that need (id, doc_id, th) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Equal rows mostly meet in one task; the few that don't only make equal pairs.
+        seen: set[int] = set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], names=["id", "s"])
+            ids, sets, held = [], [], 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if i not in seen:
+                    seen.add(i)
+                    ids.append(i)
+                    sets.append(shingle_set(text.as_py(), size).tobytes())
+                    held += len(sets[-1])
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
+                    ids, sets, held = [], [], 0
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
 
     texts = docs.where("doc_id IS NOT NULL").select(*keyed_text(), whole_text().alias("text")).join(need, ["doc_id", "th"]).select("id", "text")
-    return texts.dropDuplicates(["id"]).mapInArrow(run, "id long, s binary")
+    return texts.mapInArrow(run, "id long, s binary")
 
 
 def candidates(keyed: DataFrame, seed: int) -> DataFrame:
