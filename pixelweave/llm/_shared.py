@@ -5,11 +5,14 @@ Tables and files that operators write there are read until their results have be
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +80,23 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def begin(name: str, forget: Callable[[], None] = lambda: None) -> None:
+    """For a task in its Python worker, which Spark uses again and again: when it turns to another operator, what the others have cached is given back."""
+    others = [n for n in _CACHES if n != name]
+    for other in others:
+        _CACHES.pop(other)()
+    _CACHES[name] = forget
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,12 +5,18 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from ._shared import begin
+
 #: A worker forgets its words beyond so many; speed only.
 CACHE = 250_000
 _HASH: dict[bytes, int] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def begin_words() -> None:
+    begin("words", _HASH.clear)
+
+
 def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import whole_text
+from ._shared import begin, whole_text
 
 #: Fixed value: the pattern of the byte-level pretokenizer.
 PRETOKENS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -217,6 +217,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
+        begin("bpe", _MADE.clear)
         own = encoder(content.value)
         for batch in batches:
             for lo, hi in _slices(batch.column(1)):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import whole_text
+from ._shared import begin, whole_text
 
 SPACE = "▁"
 #: A worker forgets its words beyond so many; speed only.
@@ -118,6 +118,7 @@ def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
     key = zlib.crc32(path.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("counts", _MADE.clear)
         own = counter(key, pieces)
         for batch in batches:
             found = [own.count_text(t.as_py()) for t in batch.column(batch.num_columns - 1)]

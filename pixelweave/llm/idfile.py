@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import files_at, fresh_dir, whole_text
+from ._shared import begin, files_at, fresh_dir, whole_text
 from .bpe import byte_letters
 
 HEAD, TAIL = struct.Struct("<4sIII"), struct.Struct("<QQQI4s")
@@ -203,6 +203,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, block: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        begin("ids", _MADE.clear)
         part, nth, out = TaskContext.get().partitionId(), 0, None
 
         def closed() -> pa.RecordBatch:

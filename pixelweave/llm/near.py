@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import cut, release, remove, whole_text
-from ._words import mix, shingle_set
+from ._words import begin_words, mix, shingle_set
 
 SIDE, WIDTH = 10, 3
 HASHES = 2 * SIDE * WIDTH
@@ -71,6 +71,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        begin_words()
         for batch in batches:
             lo = 0
             while lo < batch.num_rows:
@@ -116,6 +117,7 @@ def shingle_sets(docs: DataFrame, need: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Equal rows mostly meet in one task; the few that don't only make equal pairs.
         seen: set[int] = set()
+        begin_words()
         for batch in batches:
             ids, sets, held = [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

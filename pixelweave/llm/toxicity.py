@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, remove, whole_text
+from ._shared import begin, cut, remove, whole_text
 
 SAMPLE = 20_000
 LEAST, LEAST_ODDS = 4, 2.5
@@ -152,9 +152,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int =
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Whole words, beginnings and pairs of each distinct text count once; "" counts the texts.
+        begin("toxicity")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                toxic, texts = (c.to_pylist() for c in batch.slice(lo, 256).columns)
+            for lo in range(0, batch.num_rows, 100):
+                toxic, texts = (c.to_pylist() for c in batch.slice(lo, 100).columns)
                 out: dict[str, list[int]] = {}
                 for y, t in zip(toxic, texts, strict=True):
                     for x in terms(fold(t)) | {""}:
@@ -208,6 +209,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         own = shared.value
         for batch in batches:
             scores = pa.array([own.score(t.as_py() or "") for t in batch.column(at)], pa.float64())
