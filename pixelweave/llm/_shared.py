@@ -67,10 +67,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         _MADE.remove(path)
 
 
-def remove_all(spark: SparkSession, but: DataFrame | None = None) -> None:
-    """Deletes what the operators have written to the shared folder, but for the table of one frame. No other frame they returned can be read then."""
-    kept = getattr(but, "_pixelweave_path", None)
-    for path in [p for p in _MADE if p != kept]:
+def written() -> set[str]:
+    """What the operators have written to the shared folder and not deleted."""
+    return {*_MADE}
+
+
+def remove_all(spark: SparkSession, but: DataFrame | None = None, since: set[str] = frozenset()) -> None:
+    """Deletes what the operators have written, but for what was written() before and for the table of one frame. No other frame they returned since can be read then."""
+    kept = since | {getattr(but, "_pixelweave_path", None)}
+    for path in [p for p in _MADE if p not in kept]:
         _delete(spark, path)
 
 
