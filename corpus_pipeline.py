@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm import bpe, mixing, near, queries, substring, toxicity
-from pixelweave.llm._shared import cut, remove_all, table
+from pixelweave.llm._shared import cut, remove_all, table, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage reads or wrote on its way is deleted once its own table is written."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
-        remove_all(spark, but=docs)
+        remove_all(spark, but=docs, since=before)
     return docs
