@@ -17,6 +17,7 @@ whole, with its ids; an empty table gives no files and no rows; other columns, w
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -49,6 +50,7 @@ FORM = [
     },
 ]
 PRETOKENS = regex.compile(PATTERN)
+HIGH = re.compile("[\u02b0-\U0010ffff]")
 LETTERS = dict(enumerate(byte_letters()))
 
 
@@ -173,7 +175,7 @@ def encode_words(texts: list[str], content: bytes) -> list[bytes]:
         known.clear()
         known[None] = {}
     # Below U+02B0 lower case and composition depend on no neighbour, so these texts share their words in lower case.
-    split = [(t.lower() if t and max(t) < "\u02b0" and "<|" not in t else t).encode().split() for t in texts]
+    split = [(t.lower() if "<|" not in t and (t.isascii() or not HIGH.search(t)) else t).encode().split() for t in texts]
     fresh = [*{w for ws in split for w in ws if w not in known}]
     pieces: dict[str, bytes] = known[None]
     for raw in fresh:
