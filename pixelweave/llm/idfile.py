@@ -35,7 +35,7 @@ from .bpe import byte_letters
 
 HEAD, TAIL = struct.Struct("<4sIII"), struct.Struct("<QQQI4s")
 #: A worker forgets its words beyond so many; speed only.
-CACHE = 400_000
+CACHE = 800_000
 _MADE: dict[int, tuple] = {}
 #: The pretokens of the word tokenizer; normalizer and pretokenizer as its file has them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
