@@ -24,8 +24,17 @@ CSF = [
     0.85, 0.78, 0.70, 0.60, 0.50, 0.41, 0.33, 0.26, 0.75, 0.67, 0.59, 0.50, 0.42, 0.34, 0.27, 0.22, 0.63, 0.55, 0.48, 0.41, 0.34, 0.28, 0.22, 0.18,
     0.52, 0.45, 0.39, 0.33, 0.27, 0.22, 0.18, 0.14, 0.42, 0.36, 0.31, 0.26, 0.22, 0.18, 0.14, 0.11,
 ]
-# First column halves of the integer transform's rows; the rest follows by symmetry.
-INT_ROWS = [[64, 64, 64, 64], [89, 75, 50, 18], [83, 36, -36, -83], [75, -18, -89, -50], [64, -64, -64, 64], [50, -89, 18, 75], [36, -83, 83, -36], [18, -50, 75, -89]]
+# The rows of the integer transform.
+INT_ROWS = [
+    [64, 64, 64, 64, 64, 64, 64, 64],
+    [89, 75, 50, 18, -18, -50, -75, -89],
+    [83, 36, -36, -83, -83, -36, 36, 83],
+    [75, -18, -89, -50, 50, 89, 18, -75],
+    [64, -64, -64, 64, 64, -64, -64, 64],
+    [50, -89, 18, 75, -75, -18, 89, -50],
+    [36, -83, 83, -36, -36, 83, -83, 36],
+    [18, -50, 75, -89, 89, -75, 50, -18],
+]
 # Colour matrices; limited ranges are (offset, per-255 weights) and chroma back-weights.
 COLOR = {
     "full": ((0.0, 0.299, 0.587, 0.114), (128.0, -0.168736, -0.331264, 0.5), (128.0, 0.5, -0.418688, -0.081312), (1.402, -0.344136, -0.714136, 1.772)),
@@ -59,9 +68,7 @@ def basis(n: int = 8) -> np.ndarray:
 
 
 def int_basis() -> np.ndarray:
-    half = np.array(INT_ROWS, np.int64)
-    sign = np.where(np.arange(8) % 2, -1, 1)[:, None]
-    return np.hstack([half, sign * half[:, ::-1]])
+    return np.array(INT_ROWS, np.int64)
 
 
 def steps(quality: int, chroma: bool, kind: str = "adaptive") -> list[int]:
