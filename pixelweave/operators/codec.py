@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ class CodecError(ValueError):
 
 @dataclass(frozen=True)
 class CodecConfig:
-    """mode: lossless, lossy or legacy. strict: keep the 6-bit count that loses blocks whose last coefficient is not zero."""
+    """mode: lossless, lossy, mixed (coded as lossy) or legacy. strict: keep the 6-bit count that loses blocks whose last coefficient is not zero."""
 
     mode: str = "lossy"
     quality: int = 85
@@ -39,35 +40,58 @@ def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
 
 
+SLAB = 1 << 20  # bytes of rows that are filtered at once
+
+
 def filter_rows(raw: np.ndarray, channels: int) -> np.ndarray:
     """Rows of bytes as filter number and residuals, each row by its cheapest filter."""
-    x = raw.astype(np.int32)
-    up = np.vstack([np.zeros_like(x[:1]), x[:-1]])
-    shift = lambda m: np.hstack([np.zeros((len(m), channels), np.int32), m])[:, : m.shape[1]]
-    left, corner = shift(x), shift(up)
-    every = np.stack([x, x - left, x - up, x - (left + up) // 2, x - _paeth(left, up, corner)]) % 256
-    best = np.minimum(every, 256 - every).sum(2).argmin(0)
-    return np.hstack([best[:, None], every[best, np.arange(len(x))]]).astype(np.uint8)
+    out = np.empty((len(raw), raw.shape[1] + 1), np.uint8)
+    step = max(1, SLAB // max(1, raw.shape[1]))
+    shift = lambda m: np.hstack([np.zeros((len(m), channels), np.int16), m])[:, : m.shape[1]]
+    for at in range(0, len(raw), step):
+        x = raw[at : at + step].astype(np.int16)
+        up = np.vstack([raw[at - 1 : at].astype(np.int16) if at else np.zeros_like(x[:1]), x[:-1]])
+        left, corner = shift(x), shift(up)
+        best, least = np.zeros(len(x), np.uint8), None
+        chosen = out[at : at + step, 1:]
+        for k, guess in enumerate((np.int16(0), left, up, (left + up) // 2, _paeth(left, up, corner))):
+            d = (x - guess).astype(np.uint8)
+            cost = np.minimum(d, 0 - d).sum(1, dtype=np.int64)
+            better = np.ones(len(x), bool) if least is None else cost < least
+            best[better], chosen[better] = k, d[better]
+            least = cost if least is None else np.minimum(cost, least)
+        out[at : at + step, 0] = best
+    return out
+
+
+def _undo(kind: int, d: list[int], above: list[int]) -> list[int]:
+    """One channel of a row by Average or Paeth, whose guesses need the sample before."""
+    now, a, c = [], 0, 0
+    for x, b in zip(d, above, strict=True):
+        if kind == 3:
+            guess = (a + b) >> 1
+        else:
+            pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - c - c)
+            guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
+            c = b
+        a = (x + guess) & 255
+        now.append(a)
+    return now
 
 
 def unfilter_rows(coded: np.ndarray, channels: int) -> np.ndarray:
-    out = np.zeros((len(coded), coded.shape[1] - 1), np.int32)
-    above = np.zeros(out.shape[1], np.int32)
-    for y, row in enumerate(coded.astype(np.int32)):
+    out = np.zeros((len(coded), coded.shape[1] - 1), np.uint8)
+    above = np.zeros(out.shape[1], np.uint8)
+    for y, row in enumerate(coded):
         kind, d, now = row[0], row[1:], out[y]
-        if kind == 1:
+        if kind in (1, 3, 4):
             for c in range(channels):
-                now[c::channels] = np.cumsum(d[c::channels]) % 256
-        elif kind in (3, 4):
-            for i in range(0, len(d), channels):
-                a = now[i - channels : i] if i else np.zeros(channels, np.int32)
-                b = above[i : i + channels]
-                guess = (a + b) // 2 if kind == 3 else _paeth(a, b, above[i - channels : i] if i else np.zeros(channels, np.int32))
-                now[i : i + channels] = (d[i : i + channels] + guess) % 256
+                part = d[c::channels]
+                now[c::channels] = np.cumsum(part, dtype=np.uint8) if kind == 1 else _undo(int(kind), part.tolist(), above[c::channels].tolist())
         else:
-            now[:] = (d + above * (kind == 2)) % 256
+            now[:] = d + above if kind == 2 else d
         above = now
-    return out.astype(np.uint8)
+    return out
 
 
 # Huffman: counts, lengths and bits.
@@ -95,16 +119,34 @@ def huffman_codes(counts) -> dict[int, str]:
     return codes
 
 
+STEP = 1 << 16  # symbols coded, or bytes decoded, at once
+PREFIX = 16  # bits of a code that one look into the decoder's table resolves
+
+
 def huffman_encode(data: bytes) -> bytes:
     """256 counts, the length, the coded length, then the bits."""
-    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    codes = huffman_codes(counts.tolist())
-    bits = "".join(map(codes.__getitem__, data))
-    body = np.packbits(np.frombuffer(bits.encode(), np.uint8) - 48).tobytes() if bits else b""
-    return counts.astype("<u4").tobytes() + struct.pack("<II", len(data), len(body)) + body
+    raw = np.frombuffer(data, np.uint8)
+    counts = np.bincount(raw, minlength=256)
+    sizes, values = np.zeros(256, np.int64), np.zeros(256, np.uint64)
+    for s, code in huffman_codes(counts.tolist()).items():
+        sizes[s], values[s] = len(code), int(code, 2)
+    body, rest = bytearray(), np.zeros(0, np.uint8)
+    for at in range(0, len(raw), STEP):
+        part = raw[at : at + STEP]
+        size = sizes[part]
+        ends = np.cumsum(size)
+        left = np.repeat(ends, size) - np.arange(ends[-1]) - 1  # bits of its code behind each bit
+        bits = (np.repeat(values[part], size) >> left.astype(np.uint64)).astype(np.uint8) & 1
+        bits = np.concatenate([rest, bits])
+        whole = len(bits) & ~7
+        body += np.packbits(bits[:whole]).tobytes()
+        rest = bits[whole:]
+    body += np.packbits(rest).tobytes()
+    return counts.astype("<u4").tobytes() + struct.pack("<II", len(data), len(body)) + bytes(body)
 
 
 def huffman_decode(data: bytes) -> bytes:
+    """Symbol and length of the code at every bit are looked up for a slice of bytes at once; then the codes are followed from bit to bit."""
     if len(data) < 1032:
         raise CodecError("the Huffman stream is shorter than its tables")
     counts = np.frombuffer(data[:1024], "<u4").tolist()
@@ -112,18 +154,37 @@ def huffman_decode(data: bytes) -> bytes:
     body = data[1032 : 1032 + size]
     if len(body) < size:
         raise CodecError("the Huffman stream breaks off")
-    symbol = {c: s for s, c in huffman_codes(counts).items()}
-    out, code = bytearray(), ""
-    for bit in np.unpackbits(np.frombuffer(body, np.uint8)).tolist():
-        if len(out) == n:
-            break
-        code += "1" if bit else "0"
-        if code in symbol:
-            out.append(symbol[code])
-            code = ""
-    if len(out) != n:
+    symbols, sizes, long = np.zeros(1 << PREFIX, np.uint8), np.zeros(1 << PREFIX, np.uint8), {}
+    for s, code in huffman_codes(counts).items():
+        if len(code) > PREFIX:
+            long[code] = s
+            continue
+        first = int(code, 2) << (PREFIX - len(code))
+        last = first + (1 << (PREFIX - len(code)))
+        symbols[first:last], sizes[first:last] = s, len(code)
+    padded, out, at = np.frombuffer(body + bytes(2), np.uint8).astype(np.uint32), bytearray(), 0
+    while at < 8 * size and len(out) < n:
+        base = at >> 3
+        three = [padded[base + k : base + STEP + k] for k in range(3)]
+        m = len(three[2])
+        wide = three[0][:m] << 16 | three[1][:m] << 8 | three[2]
+        window = (wide[:, None] >> np.arange(8, 0, -1, dtype=np.uint32) & 0xFFFF).reshape(-1)
+        lengths, begun, i = sizes[window].tobytes(), [], at - 8 * base
+        while i < 8 * m and (step := lengths[i]):
+            begun.append(i)
+            i += step
+        out += symbols[window[begun]].tobytes()
+        at = 8 * base + i
+        if i < 8 * m and len(out) < n:
+            bits = "".join(format(b, "08b") for b in body[at >> 3 : (at >> 3) + 40])[at & 7 :]
+            code = next((bits[:k] for k in range(PREFIX + 1, len(bits) + 1) if bits[:k] in long), None)
+            if code is None:
+                break
+            out.append(long[code])
+            at += len(code)
+    if len(out) < n or (len(out) == n and at > 8 * size):
         raise CodecError("the Huffman stream holds too few symbols")
-    return bytes(out)
+    return bytes(out[:n])
 
 
 # Exp-Golomb blocks.
@@ -353,8 +414,9 @@ def encode(raw: bytes, w: int, h: int, channels: int, config: CodecConfig) -> by
         return huffman_encode(filter_rows(px.reshape(h, w * channels), channels).tobytes())
     rgb = px[..., :3] if channels >= 3 else np.repeat(px[..., :1], 3, 2)
     planes = [_padded(p) for p in np.moveaxis(_to_ycc(rgb), 2, 0)]
-    tables = b"".join(np.array(fixed.steps(config.quality, c, "aggressive" if config.mode == "lossy" else "legacy"), "<u2").tobytes() for c in (False, True))
-    if config.mode == "lossy":
+    lossy = config.mode in ("lossy", "mixed")
+    tables = b"".join(np.array(fixed.steps(config.quality, c, "aggressive" if lossy else "legacy"), "<u2").tobytes() for c in (False, True))
+    if lossy:
         body = zlib.compress(b"".join(encode_plane(p, config.quality, k > 0, config.strict) for k, p in enumerate(planes)), 9)
         return bytes((1, 1, 1)) + tables + struct.pack("<I", len(body)) + body
     every = []
@@ -366,6 +428,11 @@ def encode(raw: bytes, w: int, h: int, channels: int, config: CodecConfig) -> by
     return tables + huffman_encode(rle(np.concatenate(every)))
 
 
+def route(data: bytes, mode: str) -> str:
+    """The coder of a payload: lossless by its mode; else legacy if it begins with steps of 16 bits, whose second byte is 0, and lossy if it begins with flags."""
+    return "lossless" if mode == "lossless" else "lossy" if len(data) > 259 and data[:3] == bytes((1, 1, 1)) else "legacy"
+
+
 def decode(data: bytes, w: int, h: int, channels: int, config: CodecConfig) -> bytes:
     """The raster. A lossy alpha channel, which the stream doesn't hold, becomes 255; grey comes back as the red of the colour planes."""
     if config.mode == "lossless":
@@ -374,9 +441,9 @@ def decode(data: bytes, w: int, h: int, channels: int, config: CodecConfig) -> b
             raise CodecError("the body does not fit the size")
         return unfilter_rows(rows.reshape(h, -1), channels).tobytes()
     ph, pw = h + -h % 8, w + -w % 8
-    if config.mode == "lossy":
-        if len(data) < 263:
-            raise CodecError("a lossy payload has 263 bytes at least")
+    if len(data) < 263:
+        raise CodecError("a payload has 263 bytes at least")
+    if route(data, config.mode) == "lossy":
         (n,) = struct.unpack_from("<I", data, 259)
         try:
             body = zlib.decompress(data[263 : 263 + n])
@@ -425,13 +492,27 @@ def deblock_plane(plane: np.ndarray, quality: int, chroma: bool = False) -> np.n
     return plane
 
 
+SLICE = 64 << 20  # bytes of rasters that are Python objects at once
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose binaries in a column have SLICE bytes, or one row."""
+    for batch in batches:
+        upto = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def roundtrip(images: DataFrame, config: CodecConfig) -> DataFrame:
     """(image, raw_bytes, coded_bytes, decoded, max_error, psnr) of rasters (image, w, h, channels, pixels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in slices(batches, "pixels"):
             rows = []
-            for r in batch.to_pylist():
+            for r in part.to_pylist():
                 size = (r["w"], r["h"], r["channels"])
                 coded = encode(r["pixels"], *size, config)
                 back = decode(coded, *size, config)
@@ -444,6 +525,21 @@ def roundtrip(images: DataFrame, config: CodecConfig) -> DataFrame:
     return images.select("image", "w", "h", "channels", "pixels").mapInArrow(run, "image string, raw_bytes long, coded_bytes long, decoded binary, max_error int, psnr double")
 
 
+def coded(images: DataFrame, config: CodecConfig) -> DataFrame:
+    """(image, raw_bytes, payload, route, same): payloads of rasters in a mode, the coder that each is sent to, and whether decoding gives the raster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "pixels"):
+            rows = []
+            for r in part.to_pylist():
+                size = (r["w"], r["h"], r["channels"])
+                payload = encode(r["pixels"], *size, config)
+                rows.append((r["image"], len(r["pixels"]), payload, route(payload, config.mode), decode(payload, *size, config) == r["pixels"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.string(), pa.bool_()), strict=True)], names=["image", "raw_bytes", "payload", "route", "same"])
+
+    return images.select("image", "w", "h", "channels", "pixels").mapInArrow(run, "image string, raw_bytes long, payload binary, route string, same boolean")
+
+
 # Motion search.
 
 RINGS = {"large": ((0, 0), (-2, 0), (2, 0), (0, -2), (0, 2), (-1, -1), (1, -1), (-1, 1), (1, 1)), "small": ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)), "hexagon": ((0, 0), (-2, 0), (2, 0), (-1, -2), (1, -2), (-1, 2), (1, 2)), "square": tuple((x, y) for y in (-1, 0, 1) for x in (-1, 0, 1))}
@@ -494,7 +590,7 @@ def motion_search(pairs: DataFrame, size: int, reach: int, how: str) -> DataFram
     """(image, bx, by, dx, dy, sad) of plane pairs (image, w, h, cur, ref)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "cur"):
             rows = []
             for r in batch.to_pylist():
                 cur, ref = (np.frombuffer(r[c], np.uint8).reshape(r["h"], r["w"]) for c in ("cur", "ref"))

@@ -77,14 +77,13 @@ def chunks(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     """Rows of SCHEMA from all files under path, through Spark's own file reader; PERMISSIVE leaves damaged files out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for path, content in ((p.as_py(), c.as_py()) for batch in batches for p, c in zip(*batch.columns, strict=True)):
             rows = []
-            for r in batch.to_pylist():
-                try:
-                    rows += [(r["path"], k, t, len(d), d, c) for k, (t, d, c) in enumerate(read_chunks(r["content"]))]
-                except ContainerError:
-                    if mode != "PERMISSIVE":
-                        raise
+            try:
+                rows += [(path, k, t, len(d), d, c) for k, (t, d, c) in enumerate(read_chunks(content))]
+            except ContainerError:
+                if mode != "PERMISSIVE":
+                    raise
             if rows:
                 kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "seq", "tag", "length", "data", "crc"])

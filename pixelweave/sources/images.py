@@ -32,7 +32,7 @@ def encode(images: DataFrame, config: codec.CodecConfig = codec.CodecConfig(), *
     tags = [t for t in CHUNK_OF if t in metadata]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in codec.slices(batches, "pixels"):
             heads, bodies = [], []
             for r in batch.select(["w", "h", "channels", "pixels"]).to_pylist():
                 lossless = config.mode == "lossless"
@@ -77,7 +77,7 @@ def decode(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     kinds |= {t: pa.binary() for t in CHUNK_OF} | {"channels": pa.int32(), "pixels": pa.binary(), "error": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in codec.slices(batches, "content"):
             for r in batch.to_pylist():
                 try:
                     row = _decoded(r["content"] or b"")
@@ -162,7 +162,7 @@ def benchmark(images: DataFrame, qualities: tuple[int, ...] = QUALITIES) -> Data
     """(image, quality, raw_bytes, coded_bytes, ratio, psnr) of each raster at each quality; 100 is lossless. One task an image and quality."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in codec.slices(batches, "pixels"):
             rows = []
             for r in batch.to_pylist():
                 config, size = codec.CodecConfig("lossless" if r["quality"] == 100 else "lossy", r["quality"]), (r["w"], r["h"], r["channels"])
