@@ -67,6 +67,53 @@ def bit_depth(v: Column, old: int, new: int) -> Column:
     return div(v.cast("long") * to + top // 2, top).cast("int")
 
 
+def unpack(data: Column, depth: int) -> Column:
+    """16-bit samples of packed bytes. 8 bits: the byte twice; 10: four high bytes, then a byte of their low pairs; 12: two high bytes, then a byte
+    of their low halves; 16: little-endian; other depths: the byte, 8 bits up. A last group that is not whole is dropped."""
+    size = {10: 5, 12: 3, 16: 2}.get(depth, 1)
+    n = div(F.length(data), size).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.conv(F.hex(F.substring(data, k * size + 1, F.lit(size))), 16, 10).cast("long"))
+
+    def samples(g: Column) -> Column:
+        byte = lambda i: F.shiftright(g, 8 * (size - 1 - i)).bitwiseAND(F.lit(255))
+        if depth in (10, 12):
+            low = depth - 8
+            parts = [F.shiftleft(F.shiftleft(byte(i), low).bitwiseOR(F.shiftright(byte(size - 1), 8 - low * (i + 1)).bitwiseAND(F.lit((1 << low) - 1))), 16 - depth) for i in range(size - 1)]
+        else:
+            parts = [{8: byte(0) * 257, 16: byte(size - 1) * 256 + byte(0)}.get(depth, byte(0) * 256)]
+        return F.array(*[p.cast("int") for p in parts])
+
+    return F.when(n > 0, F.flatten(F.transform(groups, samples))).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def narrow(v: Column) -> Column:
+    """8-bit samples of 16-bit ones."""
+    return F.transform(v, lambda x: F.shiftright(x, 8))
+
+
+def hdr_preset(name: str) -> Column:
+    """Bit depth, transfer curve, gamut and light levels of a preset; none has a mastering display."""
+    _, depth, transfer, gamut, cll, fall = next(p for p in fixed.HDR if p[0] == name)
+    return F.struct(F.lit(depth).alias("bit_depth"), F.lit(transfer).alias("transfer"), F.lit(gamut).alias("gamut"), F.lit(cll).cast("int").alias("max_cll"), F.lit(fall).cast("int").alias("max_fall"), F.lit(None).cast("string").alias("mastering_display"))
+
+
+def activity(v: Column) -> Column:
+    """Mean magnitude of a block's coefficients but the first, by 128, at most 1; a 32-bit float."""
+    total = F.aggregate(F.slice(v, 2, 63), F.lit(0).cast("long"), lambda a, x: a + F.abs(x.cast("long")))
+    return F.least(total / F.lit(63.0) / F.lit(128.0), F.lit(1.0)).cast("float")
+
+
+def quantize_active(v: Column, steps: Column, factor: Column) -> Column:
+    """Levels by steps scaled with 1 + (factor - 1/2) / 2 in 32-bit floats, cut to integers of at least 1; quotients are cut as well."""
+    real = lambda x: F.lit(x).cast("float")
+    scale = real(1) + (factor.cast("float") - real(0.5)) * real(0.5)
+    return F.zip_with(v, steps, lambda a, t: quantize_legacy(a, F.greatest((t.cast("float") * scale).cast("int"), F.lit(1))))
+
+
+def is_edge_block(bx: Column, by: Column) -> Column:
+    return (bx == 0) | (by == 0)
+
+
 def pq_eotf(v: Column) -> Column:
     m1, m2, c1, c2, c3 = fixed.PQ
     p = F.pow(v, F.lit(1 / m2))

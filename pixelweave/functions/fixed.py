@@ -103,8 +103,11 @@ def deblock_row(q: int) -> tuple[int, int, int, bool, bool]:
 END_PROB = 252
 CLASS_PROBS = (180, 165, 145, 140, 135, 128, 128, 128, 128, 128)
 EXTRA_PROBS = {5: (159,), 6: (165, 145), 7: (173, 148, 140), 8: (176, 155, 140, 135), 9: (180, 157, 141, 134, 130), 10: (254, 254, 243, 230, 196, 177, 153, 140, 133, 130, 129)}
-# Adaptive probabilities of the first block type, bands 1 to 7; context c has entry c at node 0 and entry c + 1 at node 3. All others are 128.
-BAND_PROBS = ((176, 167, 154, 141), (186, 177, 166, 154), (190, 183, 175, 166), (193, 188, 182, 175), (195, 191, 186, 181), (197, 194, 190, 185), (199, 196, 193, 189))
+# Adaptive probabilities of the first block type, bands 1 to 7, at nodes 0 and 3, by context. All others are 128.
+BAND_PROBS = {
+    0: ((176, 167, 154), (186, 177, 166), (190, 183, 175), (193, 188, 182), (195, 191, 186), (197, 194, 190), (199, 196, 193)),
+    3: ((167, 154, 141), (177, 166, 154), (183, 175, 166), (188, 182, 175), (191, 186, 181), (194, 190, 185), (196, 193, 189)),
+}
 BLOCK_TYPES = ("Y1", "Y2", "UV", "Y1AC")
 # Colour profiles (name, space, intent, profile name, description), Exif tags, marker.
 ICC = (
@@ -120,11 +123,29 @@ EXIF_TAGS = (
     "XResolution", "YResolution", "GPSLatitude", "GPSLongitude", "GPSAltitude", "ImageWidth", "ImageHeight", "WhiteBalance", "Flash", "MeteringMode", "ExposureProgram", "ExposureBiasValue", "ColorSpace",
 )
 RESYNC = b"\xff\xd0\0\0"
+# Presets of high dynamic range (name, bit depth, transfer, gamut, greatest light level of content, of a frame's mean).
+HDR = (("sdr", 8, "SDR", "SRGB", None, None), ("hdr10", 10, "PQ", "Rec2020", 1000, 400), ("hlg", 10, "HLG", "Rec2020", None, None))
 
 
 def probability(block_type: int, band: int, context: int, node: int) -> int:
     """The default probability at a place of the coefficient table; indices past the end are the last ones."""
     band, node = min(band, 7), min(node, 10)
-    if block_type or not band or node not in (0, 3):
+    if block_type or not band or node not in BAND_PROBS:
         return 128
-    return BAND_PROBS[band - 1][context + (node == 3)]
+    return BAND_PROBS[node][band - 1][context]
+
+
+class Probabilities:
+    """Coefficient probabilities that can be set; places as in `probability`."""
+
+    def __init__(self):
+        self.reset()
+
+    def get(self, block_type: int, band: int, context: int, node: int) -> int:
+        return self.own.get((block_type, min(band, 7), context, min(node, 10)), probability(block_type, band, context, node))
+
+    def set(self, block_type: int, band: int, context: int, node: int, p: int) -> None:
+        self.own[block_type, min(band, 7), context, min(node, 10)] = p
+
+    def reset(self) -> None:
+        self.own: dict[tuple[int, int, int, int], int] = {}

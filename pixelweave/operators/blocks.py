@@ -90,6 +90,26 @@ def inverse_of(order: list[int]) -> list[int]:
     return out
 
 
+#: Places of each pass of a progressive scan.
+PASSES = {"dc": [0], "low": [*fixed.LOW_AC], "high": [i for i in range(1, 64) if i not in fixed.LOW_AC]}
+
+
+def split_passes(v: str) -> Column:
+    """The coefficients of each pass, as a struct of arrays."""
+    return F.struct(*[permuted(v, places).alias(name) for name, places in PASSES.items()])
+
+
+def merge_passes(dc: Column, low: Column, high: Column) -> Column:
+    """The 64 coefficients; those of missing or short passes are 0."""
+    source = {i: F.get(part, F.lit(k)) for part, places in zip((dc, low, high), PASSES.values(), strict=True) for k, i in enumerate(places)}
+    return F.array(*[F.coalesce(source[i], F.lit(0)) for i in range(64)])
+
+
+def scan_order(n: int = 8) -> list[int]:
+    """The permutation that scans n x n blocks; that of 4x4 blocks is the inverse of the diagonal scan, as in streams of the format."""
+    return inverse_of(fixed.zigzag(4)) if n == 4 else fixed.zigzag(n)
+
+
 def stats(df: DataFrame, px: str = "px") -> DataFrame:
     """Adds sum, sum_sq, low, high, edges of each block, and mean, variance, contrast, density from them."""
     v = F.col(px)

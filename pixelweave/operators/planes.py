@@ -73,12 +73,13 @@ def upsample(small: DataFrame, value: str = "v") -> DataFrame:
     return s.select("image", F.explode(four).alias("p")).select("image", "p.*")
 
 
-def _edge(v: str, order, at: Column, config: tuple) -> Column:
+def _edge(v: str, order, at: Column, config: tuple, chroma: bool = False) -> Column:
     """The filtered sample. Its place in the row of eight says which of the samples p1, p0, q0, q1 around an edge it is."""
     strength, threshold, sharpness, simple, enabled = config
     if not enabled:
         return F.col(v)
     level = max(1, strength * (8 - min(sharpness, 7)) // 8)
+    level = max(1, level * 3 // 4) if chroma else level
     near = lambda k: (F.lead(v, k) if k >= 0 else F.lag(v, -k)).over(order).cast("int")
     limit = lambda c, low, high: F.least(F.greatest(c, F.lit(low)), F.lit(high))
     out = F.col(v)
@@ -102,12 +103,17 @@ def _edge(v: str, order, at: Column, config: tuple) -> Column:
     return out
 
 
-def deblock(plane: DataFrame, quality: int, value: str = "v") -> DataFrame:
+def deblock(plane: DataFrame, quality: int, value: str = "v", chroma: bool = False) -> DataFrame:
     """All vertical edges, then all horizontal ones on the result: one window pass each, as edges touch disjoint samples."""
     config = fixed.deblock_row(quality)
     across, down = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
-    once = plane.withColumn(value, _edge(value, across, F.col("x"), config))
-    return once.withColumn(value, _edge(value, down, F.col("y"), config))
+    once = plane.withColumn(value, _edge(value, across, F.col("x"), config, chroma))
+    return once.withColumn(value, _edge(value, down, F.col("y"), config, chroma))
+
+
+def peak(counts: DataFrame, n: str = "n") -> DataFrame:
+    """(peak): the greatest count of a histogram, 1 at least."""
+    return counts.agg(F.greatest(F.coalesce(F.max(n), F.lit(1)), F.lit(1)).alias("peak"))
 
 
 def block_contexts(blocks: DataFrame, flag: str = "nonzero") -> DataFrame:

@@ -1 +1 @@
-from . import queries, records  # noqa: F401  (records adds its queries to those of queries)
+from . import queries, records, signals  # noqa: F401  (records and signals add their queries to those of queries)

@@ -279,9 +279,12 @@ def intra_mode_choice(spark, sf_dir):
     return near.mapInArrow(run, "bx int, by int, mode int, sad long")
 
 
-def _deblock_sql(quality: int) -> str:
-    strength, threshold, sharpness, simple, _ = fixed.deblock_row(quality)
+def _deblock_sql(quality: int, plane: str, chroma: bool = False) -> str:
+    strength, threshold, sharpness, simple, enabled = fixed.deblock_row(quality)
     level = max(1, strength * (8 - min(sharpness, 7)) // 8)
+    level = max(1, level * 3 // 4) if chroma else level
+    if not enabled:
+        return plane
 
     def one(source: str, along: str, order: str) -> str:
         taps = ", ".join(f"{'lag' if k < 0 else 'lead'}(v, {abs(k)}) OVER o AS t{k + 5}" for k in range(-5, 5))
@@ -298,12 +301,12 @@ def _deblock_sql(quality: int) -> str:
             c = {-2: f"({p2} + 2 * {p1} + 2 * {p0} + {q0} + 3) // 6", -1: f"({p1} + 2 * {p0} + 2 * {q0} + {q1} + 3) // 6", 0: f"({p0} + 2 * {q0} + 2 * {q1} + {q2} + 3) // 6", 1: f"({q0} + 2 * {q1} + 3 * {q2} + 3) // 6"}[k]
             value = a if simple else f"CASE WHEN {flat} AND {gap} < {max(1, level // 2)} THEN {c} WHEN {flat} THEN {b} ELSE {a} END"
             cases.append(f"WHEN {order} % 8 = {place} AND {p2} IS NOT NULL AND {q2} IS NOT NULL AND {on} THEN least(greatest({value}, 0), 255)")
-        return f"SELECT x, y, (CASE {' '.join(cases)} ELSE v END)::INT AS v FROM (SELECT *, {taps} FROM ({source}) WINDOW o AS (PARTITION BY {along} ORDER BY {order}))"
+        return f"SELECT image, x, y, (CASE {' '.join(cases)} ELSE v END)::INT AS v FROM (SELECT *, {taps} FROM ({source}) WINDOW o AS (PARTITION BY image, {along} ORDER BY {order}))"
 
-    return one(one(_plane_sql(48, 40, 3), "y", "x"), "x", "y")
+    return one(one(plane, "y", "x"), "x", "y")
 
 
-@query(_deblock_sql(50))
+@query(f"SELECT x, y, v FROM ({_deblock_sql(50, _plane_sql(48, 40, 3))})")
 def deblock_edges(spark, sf_dir):
     return planes.deblock(_plane(spark, 48, 40, 3), 50).select("x", "y", "v")
 
@@ -372,10 +375,9 @@ def block_contexts(spark, sf_dir):
 
 @query(f"WITH {_COEF} SELECT CASE WHEN k = 0 THEN 'dc' WHEN k IN {fixed.LOW_AC} THEN 'low' ELSE 'high' END AS scan_pass, sum(abs(q))::BIGINT AS total, count(*) AS n FROM q GROUP BY 1")
 def progressive_passes(spark, sf_dir):
-    """Passes as arrays of their coefficients, then merged again; both must hold the same sums."""
-    c = _coefficients(spark, sf_dir)
-    order = {"dc": [0], "low": [*fixed.LOW_AC], "high": [i for i in range(1, 64) if i not in fixed.LOW_AC]}
-    parts = c.select(F.explode(F.array(*[F.struct(F.lit(n).alias("scan_pass"), blocks.permuted("levels", o).alias("v")) for n, o in order.items()])).alias("p")).select("p.*")
+    """Passes as arrays of their coefficients; all three hold all coefficients."""
+    c = _coefficients(spark, sf_dir).select(blocks.split_passes("levels").alias("s"))
+    parts = c.select(F.explode(F.array(*[F.struct(F.lit(n).alias("scan_pass"), F.col(f"s.{n}").alias("v")) for n in blocks.PASSES])).alias("p")).select("p.*")
     return parts.groupBy("scan_pass").agg(F.sum(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + F.abs(x))).alias("total"), F.sum(F.size("v").cast("long")).alias("n"))
 
 
@@ -462,20 +464,26 @@ def bit_depth_convert(spark, sf_dir):
     return v.select("v", C.bit_depth(x, 8, 10).alias("to10"), C.bit_depth(x, 8, 12).alias("to12"), C.bit_depth(x, 8, 16).alias("to16"), C.bit_depth(C.bit_depth(x, 8, 10), 10, 8).alias("back"))
 
 
-_SAMPLES = "g AS (SELECT id AS grp, [(id * 5 + k) * 37 % 256 for k in range(5)] AS b FROM range(64) r(id))"
+_DEPTHS = {
+    8: ("..", "[g * 257]"),
+    10: (".{10}", "[(((g >> (32 - 8 * k)) & 255) << 2 | ((g >> (6 - 2 * k)) & 3)) << 6 for k in range(4)]"),
+    12: (".{6}", "[(((g >> (16 - 8 * k)) & 255) << 4 | ((g >> (4 - 4 * k)) & 15)) << 4 for k in range(2)]"),
+    16: (".{4}", "[(g & 255) * 256 + (g >> 8)]"),
+}
+_UNPACKED = " UNION ALL ".join(f"SELECT doc_id, {d} AS depth, flatten([{e} for g in [('0x' || p)::BIGINT for p in regexp_extract_all(h, '{r}')]]) AS v FROM d" for d, (r, e) in _DEPTHS.items())
 
 
 @query(
-    f"""WITH {_SAMPLES}, s AS (SELECT grp, unnest([0, 1, 2, 3]) AS k, unnest([(b[1] << 2) | (b[2] >> 6), ((b[2] & 63) << 4) | (b[3] >> 4), ((b[3] & 15) << 6) | (b[4] >> 2), ((b[4] & 3) << 8) | b[5]]) AS v FROM g)
-SELECT grp, k, (v << 6)::INT AS v16, ((v << 6) >> 8)::INT AS v8 FROM s"""
+    f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), u AS ({_UNPACKED})
+SELECT doc_id, depth, len(v)::INT AS samples, coalesce(list_sum(v), 0)::BIGINT AS total, coalesce(list_sum([x * ((i - 1) % 997) for x, i in v]), 0)::BIGINT AS placed, coalesce(list_sum([x >> 8 for x in v]), 0)::BIGINT AS total8 FROM u"""
 )
 def unpack_samples(spark, sf_dir):
-    """10-bit samples, four in five bytes, widened to 16 bits and narrowed to 8."""
-    g = spark.range(64).select(F.col("id").alias("grp"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: ((F.col("id") * 5 + k) * 37 % 256).cast("int")).alias("b"))
-    b = lambda i: F.get("b", F.lit(i))
-    cut = lambda i, keep, up, down: F.shiftleft(b(i).bitwiseAND(F.lit(keep)), up).bitwiseOR(F.shiftright(b(i + 1), down))
-    s = g.select("grp", F.posexplode(F.array(cut(0, 255, 2, 6), cut(1, 63, 4, 4), cut(2, 15, 6, 2), cut(3, 3, 8, 0))).alias("k", "v"))
-    return s.select("grp", "k", F.shiftleft("v", 6).alias("v16"), F.shiftright(F.shiftleft("v", 6), 8).alias("v8"))
+    """The bytes of each document as packed samples of 8, 10, 12 and 16 bits, widened to 16 bits and narrowed to 8."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("b"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("depth"), C.unpack(F.col("b"), n).alias("v")) for n in _DEPTHS]))
+    total = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
+    u = d.select("doc_id", each.alias("u")).select("doc_id", "u.depth", "u.v")
+    return u.select("doc_id", "depth", F.size("v").alias("samples"), total(F.col("v")).alias("total"), total(F.transform("v", lambda x, i: x.cast("long") * (i % 997))).alias("placed"), total(C.narrow(F.col("v"))).alias("total8"))
 
 
 @query(
@@ -499,7 +507,23 @@ def huffman_code_lengths(spark, sf_dir):
     return spark.createDataFrame(rows, "byte int, n long, bits int")
 
 
-@query()
+# Fixed value: the reversed polynomial of CRC-32; its table comes from the rule below.
+_POLYNOMIAL = 0xEDB88320
+
+
+def _crc_sql(h: str) -> str:
+    """CRC-32 of hexadecimal bytes, by a table of 256 remainders."""
+    table = [*range(256)]
+    for _ in range(8):
+        table = [v >> 1 ^ _POLYNOMIAL * (v & 1) for v in table]
+    return f"xor(4294967295, list_reduce([('0x' || b)::BIGINT for b in regexp_extract_all({h}, '..')], lambda c, b: xor(c >> 8, (CAST([{', '.join(map(str, table))}] AS BIGINT[]))[1 + (xor(c, b) & 255)]), 4294967295::BIGINT))"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM documents), c AS (SELECT *, {_crc_sql("hex('CUST') || h")} AS crc FROM d),
+f AS (SELECT *, [format('{{:08X}}', n), format('{{:08X}}', crc)] AS w FROM c), l AS (SELECT *, [substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2) for x in w] AS e FROM f)
+SELECT doc_id, crc, (n + 12)::BIGINT AS framed, sha256(unhex(hex('CUST') || e[1] || h || e[2])) AS sha256 FROM l"""
+)
 def chunk_crc(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit("CUST").alias("tag"), F.encode("text", "utf-8").alias("data"))
     f = container.frame(F.col("tag"), F.col("data"))

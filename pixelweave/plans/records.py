@@ -12,13 +12,13 @@ from ..sources import container, images
 from .queries import _COEF, _coefficients, _images, _values, query, table
 
 _TYPES = _values((k, f"'{t}'") for k, t in enumerate(fixed.BLOCK_TYPES))
-_BANDS = _values((b + 1, c, p) for b, row in enumerate(fixed.BAND_PROBS) for c, p in enumerate(row))
+_BANDS = _values((node, b + 1, c, p) for node, bands in fixed.BAND_PROBS.items() for b, row in enumerate(bands) for c, p in enumerate(row))
 
 
 @query(
-    f"""WITH t(k, block_type) AS (VALUES {_TYPES}), b(band, place, p) AS (VALUES {_BANDS})
-SELECT block_type, x.band::INT AS band, context::INT AS context, node::INT AS node, coalesce(b.p, 128)::INT AS prob
-FROM t, range(8) x(band), range(3) y(context), range(11) z(node) LEFT JOIN b ON t.k = 0 AND b.band = x.band AND ((node = 0 AND place = context) OR (node = 3 AND place = context + 1))"""
+    f"""WITH t(k, block_type) AS (VALUES {_TYPES}), b(node, band, context, p) AS (VALUES {_BANDS})
+SELECT block_type, x.band::INT AS band, y.context::INT AS context, z.node::INT AS node, coalesce(b.p, 128)::INT AS prob
+FROM t, range(8) x(band), range(3) y(context), range(11) z(node) LEFT JOIN b ON t.k = 0 AND b.band = x.band AND b.context = y.context AND b.node = z.node"""
 )
 def coeff_probabilities(spark, sf_dir):
     rows = [(n, b, c, k, fixed.probability(t, b, c, k)) for t, n in enumerate(fixed.BLOCK_TYPES) for b in range(8) for c in range(3) for k in range(11)]

@@ -100,3 +100,62 @@ def test_stream_of_events(spark):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").groupBy().sum("n").first()[0] == 1000
+
+
+def _fibonacci_bytes():
+    """Counts that give codes of over 16 bits, beyond the decoder's table."""
+    counts = [1, 1]
+    while len(counts) < 24:
+        counts.append(counts[-1] + counts[-2])
+    data = np.repeat(np.arange(24, dtype=np.uint8), counts)
+    np.random.default_rng(3).shuffle(data)
+    return data.tobytes()
+
+
+def test_huffman_long_codes_and_slices():
+    data = _fibonacci_bytes()
+    codes = codec.huffman_codes(np.bincount(np.frombuffer(data, np.uint8), minlength=256).tolist())
+    assert max(map(len, codes.values())) > codec.PREFIX and len(data) > codec.STEP
+    bits = "".join(codes[b] for b in data)
+    coded = codec.huffman_encode(data)
+    assert coded[1032:] == np.packbits(np.frombuffer(bits.encode(), np.uint8) - 48).tobytes()
+    assert codec.huffman_decode(coded) == data
+    for n in (codec.STEP - 1, codec.STEP, codec.STEP + 1):
+        assert codec.huffman_decode(codec.huffman_encode(bytes(n))) == bytes(n)
+
+
+def test_row_filters_at_slab_borders(monkeypatch):
+    raw = np.random.default_rng(4).integers(0, 256, (40, 30)).astype(np.uint8)
+    raw[::3] = np.arange(30)
+    whole = codec.filter_rows(raw, 3)
+    monkeypatch.setattr(codec, "SLAB", 70)
+    assert (codec.filter_rows(raw, 3) == whole).all() and (codec.unfilter_rows(whole, 3) == raw).all()
+
+
+def test_payloads_are_routed():
+    raw = bytes(range(256)) * 3
+    for mode in ("lossy", "mixed"):
+        config = codec.CodecConfig(mode, 100)
+        payload = codec.encode(raw, 16, 16, 3, config)
+        assert codec.route(payload, mode) == "lossy" and codec.decode(payload, 16, 16, 3, config) == codec.decode(payload, 16, 16, 3, codec.CodecConfig("lossy", 100))
+    old = codec.encode(raw, 16, 16, 3, codec.CodecConfig("legacy", 100))
+    assert codec.route(old, "lossy") == "legacy"
+    assert codec.decode(old, 16, 16, 3, codec.CodecConfig("lossy", 100)) == codec.decode(old, 16, 16, 3, codec.CodecConfig("legacy", 100))
+
+
+def test_probabilities_are_set_and_reset():
+    table = fixed.Probabilities()
+    assert (table.get(0, 1, 0, 0), table.get(0, 9, 2, 3), table.get(1, 1, 0, 0)) == (176, 189, 128)
+    table.set(2, 99, 1, 99, 7)
+    assert (table.get(2, 7, 1, 10), table.get(2, 7, 1, 9)) == (7, 128)
+    table.reset()
+    assert table.get(2, 7, 1, 10) == 128
+
+
+@pytest.mark.parametrize("depth, data, samples", [(8, "00ff", [0, 65535]), (10, "010203041b05", [256, 576, 896, 1216]), (12, "12345678", [4688, 13408]), (16, "3412ff", [4660]), (9, "01", [256]), (10, "01020304", []), (12, "", [])])
+def test_unpacked_samples(spark, depth, data, samples):
+    from pixelweave.functions import columns
+
+    v = columns.unpack(F.unhex(F.lit(data)), depth)
+    got = spark.range(1).select(v.alias("v"), columns.narrow(v).alias("low")).first()
+    assert got["v"] == samples and got["low"] == [s >> 8 for s in samples]
