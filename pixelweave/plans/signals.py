@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..operators import blocks, codec, planes
+from ..sources import files
 from .queries import _COEF, _PX, QUALITY, _centred, _coefficients, _deblock_sql, _images, _values, _vectors, byte_histogram, query, table
 
 _STEPS = _values(enumerate(fixed.steps(QUALITY, False)))
@@ -120,3 +121,24 @@ def mode_routes(spark, sf_dir):
         d = codec.coded(_images(spark), codec.CodecConfig(mode, 85)).select("image", F.lit(mode).alias("mode"), "route", "raw_bytes", (F.col("same") & (F.col("route") == "lossless")).alias("whole"))
         out = d if out is None else out.unionByName(d)
     return out
+
+
+_HEX = f"px AS ({_PX}), b AS (SELECT vec_id, string_agg(format('{{:02X}}', v), '' ORDER BY i) AS h FROM px GROUP BY vec_id)"
+_KINDS = _values((f"'{k}'", n) for k, n in (("png", 1), ("pgm", 1), ("bmp", 3)))
+
+
+@query(
+    f"""WITH {_HEX}, k(kind, n) AS (VALUES {_KINDS})
+SELECT vec_id, kind, 8 AS w, 8 AS h, n AS channels, sha256(unhex(CASE WHEN n = 1 THEN h ELSE regexp_replace(h, '(..)', '\\1\\1\\1', 'g') END)) AS pixels_sha256, CASE WHEN kind = 'pgm' THEN sha256(unhex(hex('P5' || chr(10) || '8 8' || chr(10) || '255' || chr(10)) || h)) END AS file_sha256 FROM b, k"""
+)
+def image_files(spark, sf_dir):
+    """Each block as grey image files of three forms, read back."""
+    byte = F.unhex(F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+    d = _vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("image"), F.lit(8).alias("w"), F.lit(8).alias("h"), F.lit(1).alias("channels"), byte.alias("pixels"))
+    out = None
+    for kind in ("png", "pgm", "bmp"):
+        coded = files.encode(d, kind).select(F.concat_ws(",", "image", F.sha2("encoded", 256)).alias("path"), F.col("encoded").alias("content"))
+        name = F.split("image", ",")
+        back = files.decode(coded).select(F.get(name, F.lit(0)).cast("long").alias("vec_id"), F.lit(kind).alias("kind"), "w", "h", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), (F.get(name, F.lit(1)) if kind == "pgm" else F.lit(None).cast("string")).alias("file_sha256"))
+        out = back if out is None else out.unionByName(back)
+    return out

@@ -124,7 +124,7 @@ def info(spark: SparkSession, path: str) -> DataFrame:
 
 
 class ImageSink(DataSource):
-    """df.write.format("images").mode("append").option("path", folder).save() for rows (image, encoded): a file image.wk for each row.
+    """df.write.format("images").mode("append").option("path", folder).save() for rows (image, encoded): a file image.wk for each row, or with another `extension`.
 
     Each file is written under another name in the folder and then renamed, so a task that is run again leaves whole files only. The folder must be shared.
     """
@@ -136,12 +136,12 @@ class ImageSink(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("only mode append")
-        return ImageWriter(self.options["path"])
+        return ImageWriter(self.options["path"], self.options.get("extension", "wk"))
 
 
 class ImageWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, extension: str = "wk"):
+        self.path, self.extension = path, extension
 
     def write(self, rows) -> WriterCommitMessage:
         import pyarrow.fs as pafs
@@ -154,7 +154,7 @@ class ImageWriter(DataSourceWriter):
             part = f"{at}/.{uuid.uuid4().hex}.part"
             with fs.open_output_stream(part) as f:
                 f.write(bytes(r["encoded"]))
-            fs.move(part, f"{at}/{r['image']}.wk")
+            fs.move(part, f"{at}/{r['image']}.{self.extension}")
         return WriterCommitMessage()
 
 
