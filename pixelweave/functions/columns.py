@@ -67,25 +67,6 @@ def bit_depth(v: Column, old: int, new: int) -> Column:
     return div(v.cast("long") * to + top // 2, top).cast("int")
 
 
-def unpack(data: Column, depth: int) -> Column:
-    """16-bit samples of packed bytes. 8 bits: the byte twice; 10: four high bytes, then a byte of their low pairs; 12: two high bytes, then a byte
-    of their low halves; 16: little-endian; other depths: the byte, 8 bits up. A last group that is not whole is dropped."""
-    size = {10: 5, 12: 3, 16: 2}.get(depth, 1)
-    n = div(F.length(data), size).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.conv(F.hex(F.substring(data, k * size + 1, F.lit(size))), 16, 10).cast("long"))
-
-    def samples(g: Column) -> Column:
-        byte = lambda i: F.shiftright(g, 8 * (size - 1 - i)).bitwiseAND(F.lit(255))
-        if depth in (10, 12):
-            low = depth - 8
-            parts = [F.shiftleft(F.shiftleft(byte(i), low).bitwiseOR(F.shiftright(byte(size - 1), 8 - low * (i + 1)).bitwiseAND(F.lit((1 << low) - 1))), 16 - depth) for i in range(size - 1)]
-        else:
-            parts = [{8: byte(0) * 257, 16: byte(size - 1) * 256 + byte(0)}.get(depth, byte(0) * 256)]
-        return F.array(*[p.cast("int") for p in parts])
-
-    return F.when(n > 0, F.flatten(F.transform(groups, samples))).otherwise(F.expr("cast(array() as array<int>)"))
-
-
 def narrow(v: Column) -> Column:
     """8-bit samples of 16-bit ones."""
     return F.transform(v, lambda x: F.shiftright(x, 8))

@@ -602,6 +602,31 @@ def motion_search(pairs: DataFrame, size: int, reach: int, how: str) -> DataFram
     return pairs.select("image", "w", "h", "cur", "ref").mapInArrow(run, "image string, bx int, by int, dx int, dy int, sad long")
 
 
+def unpack(data: bytes, depth: int) -> np.ndarray:
+    """16-bit samples of packed bytes. 8 bits: the byte twice; 10: four high bytes, then a byte of their low pairs; 12: two high bytes, then a byte
+    of their low halves; 16: little-endian; other depths: the byte, 8 bits up. A last group that is not whole is dropped."""
+    size = {10: 5, 12: 3, 16: 2}.get(depth, 1)
+    g = np.frombuffer(data, np.uint8, len(data) // size * size).reshape(-1, size).astype(np.uint16)
+    if depth == 16:
+        return g[:, 0] | g[:, 1] << 8
+    if size == 1:
+        return g[:, 0] * (257 if depth == 8 else 256)
+    low = depth - 8
+    down = 8 - low * np.arange(1, size, dtype=np.uint16)
+    return ((g[:, :-1] << low | g[:, -1:] >> down & (1 << low) - 1) << 16 - depth).reshape(-1)
+
+
+def samples(df: DataFrame, column: str, depth: int) -> DataFrame:
+    """Adds `samples`, the unpacked array of a binary column; null where that is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, column):
+            made = [None if v is None else unpack(v, depth).astype(np.int32) for v in part.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(pa.int32()))], names=[*part.schema.names, "samples"])
+
+    return df.mapInArrow(run, df.withColumn("samples", F.expr("cast(null as array<int>)")).schema)
+
+
 def byte_counts(df: DataFrame, column: str, residual: bool = False) -> DataFrame:
     """(byte, n): bytes of a text or binary column (residual: Sub residuals of one-row rasters), counted per batch, then summed. Nothing is exploded."""
 

@@ -478,12 +478,23 @@ _UNPACKED = " UNION ALL ".join(f"SELECT doc_id, {d} AS depth, flatten([{e} for g
 SELECT doc_id, depth, len(v)::INT AS samples, coalesce(list_sum(v), 0)::BIGINT AS total, coalesce(list_sum([x * ((i - 1) % 997) for x, i in v]), 0)::BIGINT AS placed, coalesce(list_sum([x >> 8 for x in v]), 0)::BIGINT AS total8 FROM u"""
 )
 def unpack_samples(spark, sf_dir):
-    """The bytes of each document as packed samples of 8, 10, 12 and 16 bits, widened to 16 bits and narrowed to 8."""
+    """The bytes of each document as packed samples of 8, 10, 12 and 16 bits, widened to 16 bits and narrowed to 8; summed where they are unpacked."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("b"))
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("depth"), C.unpack(F.col("b"), n).alias("v")) for n in _DEPTHS]))
-    total = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
-    u = d.select("doc_id", each.alias("u")).select("doc_id", "u.depth", "u.v")
-    return u.select("doc_id", "depth", F.size("v").alias("samples"), total(F.col("v")).alias("total"), total(F.transform("v", lambda x, i: x.cast("long") * (i % 997))).alias("placed"), total(C.narrow(F.col("v"))).alias("total8"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in codec.slices(batches, "b"):
+            rows = []
+            for doc, b in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for depth in _DEPTHS:
+                    v = codec.unpack(b, depth).astype(np.int64)
+                    rows.append((doc, depth, len(v), int(v.sum()), int(v @ (np.arange(len(v)) % 997)), int((v >> 8).sum())))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "depth", "samples", "total", "placed", "total8"])
+
+    return d.mapInArrow(run, "doc_id long, depth int, samples int, total long, placed long, total8 long")
 
 
 @query(

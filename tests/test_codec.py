@@ -156,6 +156,6 @@ def test_probabilities_are_set_and_reset():
 def test_unpacked_samples(spark, depth, data, samples):
     from pixelweave.functions import columns
 
-    v = columns.unpack(F.unhex(F.lit(data)), depth)
-    got = spark.range(1).select(v.alias("v"), columns.narrow(v).alias("low")).first()
-    assert got["v"] == samples and got["low"] == [s >> 8 for s in samples]
+    d = codec.samples(spark.createDataFrame([(1, bytearray.fromhex(data)), (2, None)], "k int, data binary"), "data", depth)
+    got = {r["k"]: (r["samples"], r["low"]) for r in d.select("k", "samples", columns.narrow(F.col("samples")).alias("low")).collect()}
+    assert got == {1: (samples, [s >> 8 for s in samples]), 2: (None, None)}
