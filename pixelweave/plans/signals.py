@@ -9,7 +9,8 @@ from ..functions import columns as C
 from ..functions import fixed
 from ..operators import blocks, codec, planes
 from ..sources import files
-from .queries import _COEF, _PX, QUALITY, _centred, _coefficients, _deblock_sql, _images, _values, _vectors, byte_histogram, query, table
+from . import records  # noqa: F401  (whose queries are read here)
+from .queries import _COEF, _PX, QUALITY, QUERIES, _centred, _coefficients, _deblock_sql, _images, _values, _vectors, byte_histogram, query, table
 
 _STEPS = _values(enumerate(fixed.steps(QUALITY, False)))
 
@@ -142,3 +143,23 @@ def image_files(spark, sf_dir):
         back = files.decode(coded).select(F.get(name, F.lit(0)).cast("long").alias("vec_id"), F.lit(kind).alias("kind"), "w", "h", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), (F.get(name, F.lit(1)) if kind == "pgm" else F.lit(None).cast("string")).alias("file_sha256"))
         out = back if out is None else out.unionByName(back)
     return out
+
+
+@query(f"SELECT image, raw_bytes::BIGINT AS raw_bytes, 0 AS max_error FROM (VALUES {_values((f"'{n}'", b) for n, b in _SIZES)}) t(image, raw_bytes)")
+def lossless_rasters(spark, sf_dir):
+    return QUERIES["lossless_roundtrip"](spark, sf_dir).select("image", "raw_bytes", "max_error")
+
+
+@query("SELECT label, count(*) AS blocks, 0::BIGINT AS wrong FROM embeddings GROUP BY label")
+def token_roundtrip(spark, sf_dir):
+    return QUERIES["token_streams"](spark, sf_dir).select("label", "blocks", "wrong")
+
+
+_FIELDS = _values((f"'{n}'", w, h, f"'{c}'") for n, w, h, c in (("grad32", 32, 32, "Rgb"), ("grad64", 64, 64, "Rgb"), ("rgba16", 16, 16, "Rgba"), ("odd13x9", 13, 9, "Rgb"), ("gray", 24, 16, "Grayscale")))
+
+
+@query(f"""SELECT image, mode, width::BIGINT AS width, height::BIGINT AS height, color_type, CASE WHEN image <> 'gray' THEN '{{"author":"' || image || '"}}' END AS custom, mode = 'lossless' AS whole FROM (VALUES {_FIELDS}) t(image, width, height, color_type), (VALUES ('lossless'), ('lossy')) m(mode)""")
+def container_fields(spark, sf_dir):
+    """What container files give back: sizes, colour types, custom metadata, and lossless rasters whole."""
+    r = QUERIES["container_roundtrip"](spark, sf_dir)
+    return r.select("image", "mode", "width", "height", "color_type", "custom", ((F.col("mode") == "lossless") & F.col("same")).alias("whole"))
