@@ -186,7 +186,7 @@ def unsettled(keyed: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def small_buckets(opened: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct (id, pivot): the pairs of entries of a bucket, in different components, whose sizes and sketches allow the similarity.
+    """Distinct (id, pivot), id having the smaller set: the pairs of entries of a bucket, in different components, whose sizes and sketches allow the similarity.
 
     The sketches compared have one byte of each minhash, which can only add pairs.
     """
@@ -198,7 +198,9 @@ def small_buckets(opened: DataFrame, reps: DataFrame, percent: int) -> DataFrame
         small, large = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
         x, y = np.nonzero((c[:, None] != c[None]) & (ids[:, None] < ids[None]) & (100 * small >= percent * large))
         near = (s[x] == s[y]).sum(1) >= low
-        return ids[x[near]], ids[y[near]]
+        x, y = x[near], y[near]
+        turned = n[x] > n[y]
+        return ids[np.where(turned, y, x)], ids[np.where(turned, x, y)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -333,13 +335,16 @@ def classified(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataF
     reps = cut(classes.select("digest", F.col("r.row").alias("id"), "r.doc_id", "r.th", "copies", "n_shingles", "sketch"), "classes")
     keyed = cut(entries(reps), "entries")
     sets = cut(shingle_sets(docs, reps.select("id", "doc_id", "th").join(keyed.select("id").distinct(), "id"), size), "sets")
-    links = stars(confirm(likely(candidates(keyed, 0), reps, percent), sets, percent))
+    tried = cut(likely(candidates(keyed, 0), reps, percent), "tried")
+    links = stars(confirm(tried, sets, percent))
     opened = cut(unsettled(keyed, links), "opened")
     remove(keyed)
     release(docs.sparkSession)
-    few = confirm(likely(small_buckets(opened.where(F.col("n") <= HOT), reps, percent), reps, percent), sets, percent)
+    # Sizes and sketches have been compared there, and full sets need not be compared twice.
+    few = confirm(small_buckets(opened.where(F.col("n") <= HOT), reps, percent).join(tried, ["id", "pivot"], "left_anti"), sets, percent)
     many = large_buckets(opened.where(F.col("n") > HOT), sets, percent)
     links = _joined(links, cut(few.union(many), "links"))
+    remove(tried)
     remove(opened)
     remove(sets)
     # The component's name is its smallest doc_id.

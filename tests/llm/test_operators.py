@@ -382,6 +382,22 @@ def test_near_duplicates_that_no_pivot_links(spark, monkeypatch, hot):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i in range(40)}
 
 
+def test_near_pairs_are_confirmed_once(spark, monkeypatch):
+    """In a family whose pairs lie mostly below the similarity, sketches are joined to pairs once, and no pair's full sets are compared twice."""
+    rnd = random.Random(21)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for group in range(60):
+        first = list(base)
+        for at in rnd.sample(range(120), rnd.randint(7, 10)):
+            first[at] = f"g{rnd.randrange(3000)}"
+        texts += [first, [w if rnd.random() > 0.02 else f"y{group}" for w in first]]
+    seen, calls, confirm, likely = [], [], near.confirm, near.likely
+    monkeypatch.setattr(near, "confirm", lambda pairs, *rest: (seen.append({(r["id"], r["pivot"]) for r in pairs.collect()}), confirm(pairs, *rest))[1])
+    monkeypatch.setattr(near, "likely", lambda *args: (calls.append(1), likely(*args))[1])
+    near.components(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), 2, 80).count()
+    assert len(seen) == 2 and seen[0] and seen[1] and not seen[0] & seen[1] and len(calls) == 1
+
+
 def test_passages_whose_seeds_older_documents_hold(spark):
     """An exact repeat of 60 words each of whose 5-word windows stands alone in an older document."""
     words = [f"w{i}" for i in range(60)]
