@@ -84,6 +84,12 @@ def test_passages(spark):
     assert kept[1] == docs[1][:30] + docs[1][90:] and kept[0] == docs[0] and len(kept) == 7
 
 
+def test_chains_of_equal_places_are_all_kept():
+    """Two documents hold the same places; either may go on beyond them."""
+    ref, at, sure = np.array([4, 4, 4, 6, 6]), np.array([3, 8, 12, 3, 8], np.int32), np.zeros(5, bool)
+    assert sorted(substring.chained_pairs(ref, at, at + 2, sure)) == [(4, [3, 8, 12], [5, 10, 14]), (6, [3, 8], [5, 10])]
+
+
 def test_chain_is_best():
     rnd = random.Random(5)
     for _ in range(40):
