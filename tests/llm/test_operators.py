@@ -412,6 +412,21 @@ def test_passages_whose_seeds_older_documents_hold(spark):
     assert [(r["doc_id"], r["start_word"], r["end_word"], r["ref_ids"]) for r in got] == [(57, 40, 100, [56])]
 
 
+def test_ends_of_passages_whose_middles_many_hold(spark):
+    """Exact repeats of 60 words of which twenty older documents hold all but the ends: these are found whole, as are those that two older documents hold."""
+    docs, want = [], {}
+    for k in range(1, 13):
+        for holders in (20, 2):
+            passage = [f"p{k}x{holders}x{i}" for i in range(60)]
+            docs += [[f"h{len(docs)}x{n}x{i}" for i in range(10)] + passage[k : 60 - k] + [f"t{len(docs)}x{n}x{i}" for i in range(10)] for n in range(holders)]
+            docs.append([f"a{len(docs)}x{i}" for i in range(10)] + passage + [f"b{len(docs)}x{i}" for i in range(10)])
+            want[len(docs)] = len(docs) - 1
+            docs.append([f"c{len(docs)}x{i}" for i in range(10)] + passage + [f"d{len(docs)}x{i}" for i in range(10)])
+    got = {r["doc_id"]: r for r in substring.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")).collect() if r["doc_id"] in want}
+    assert {d: (r["start_word"], r["end_word"]) for d, r in got.items()} == dict.fromkeys(want, (10, 70))
+    assert all(want[d] in r["ref_ids"] for d, r in got.items())
+
+
 def test_near_duplicates_under_one_template(spark):
     """Pairs of near copies in one family, whose other pairs lie mostly below the similarity, by brute force over all pairs."""
     rnd = random.Random(21)
