@@ -2,11 +2,13 @@
 
 import io
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -574,3 +576,36 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     own = Tokenizer.from_file(TOKENS["byte_bpe_50k.json"])
     encoded = sorted((str(r["doc_id"]), hashlib.sha256(",".join(map(str, own.encode(r["text"] or "", add_special_tokens=False).ids)).encode()).hexdigest()) for r in out["source_mixing"])
     assert sorted((str(r["doc_id"]), r["ids_sha256"]) for r in out["bpe"]) == encoded
+
+
+def test_rows_of_texts_are_hashed_as_each_alone():
+    """Words, windows and minimizers of texts in a row, by brute force over each text."""
+    rnd = random.Random(1)
+    some = ["a", "b", "cc", "Ünder", "longerthaneight", "longerthaneight" * 40, "x\0"]
+    texts = [" ".join(rnd.choice(some) for _ in range(rnd.choice([0, 1, 4, 5, 6, 9, 13, 14, 30, 100]))) + rnd.choice(["", " ", "\n"]) for _ in range(300)]
+    row = substring.Row(pa.array(texts))
+    split = [t.encode().lower().split() for t in texts]
+    assert np.diff(row.ends).tolist() == [*map(len, split)]
+    flat = [w for ws in split for w in ws]
+    assert len({*zip(flat, row.w.tolist(), strict=True)}) == len({*flat}) == len({*row.w.tolist()})
+    h = row.windows()
+    for span in (substring.SPAN, substring.SPARSE):
+        want = []
+        for a, ws in zip(row.ends.tolist(), split, strict=False):
+            o = substring.mix(h[a : a + max(0, len(ws) - substring.SIZE + 1)]).tolist()
+            at = sorted({i for s in range(max(1, len(o) - span + 1)) if o for i in range(s, min(s + span, len(o))) if o[i] == min(o[s : s + span])})
+            want += [a + i for k, i in enumerate(at) if not k or o[i] != o[at[k - 1]]]
+        assert row.minimizers(h, span).tolist() == want
+
+
+def test_released_frames_leave_no_shuffle_files(spark):
+    from pixelweave.llm import _shared
+
+    _shared.release(spark)
+    time.sleep(2)
+    shuffles = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = shuffles.size()
+    _shared.cut(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 9).alias("k")).count(), "released")
+    _shared.release(spark)
+    time.sleep(2)
+    assert shuffles.size() <= before
