@@ -36,7 +36,7 @@ from .bpe import byte_letters
 HEAD, TAIL = struct.Struct("<4sIII"), struct.Struct("<QQQI4s")
 #: A worker forgets its words beyond so many; speed only.
 CACHE = 800_000
-_MADE: dict[int, tuple] = {}
+_MADE: dict[int, WordIds] = {}
 #: The pretokens of the word tokenizer; normalizer and pretokenizer as its file has them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 FORM = [
@@ -159,38 +159,53 @@ def check_form(content: bytes) -> None:
         raise ValueError("this tokenizer normalizes or splits texts in another way than encode_words()")
 
 
+class WordIds(dict):
+    """The ids of each word as little-endian u32, made when a word is first asked for. content: a tokenizer file."""
+
+    def __init__(self, content: bytes):
+        from tokenizers import Tokenizer
+
+        check_form(content)
+        self.own = Tokenizer.from_buffer(content)
+        self.own.no_truncation()
+        self.own.no_padding()
+        self.pieces: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+
+    def _piece(self, p: str) -> bytes:
+        found = self.pieces.get(p)
+        if found is None:
+            letters = p if p.isascii() else p.encode().decode("latin-1").translate(LETTERS)
+            ids = [t.id for t in self.own.model.tokenize(letters)]
+            found = self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def __missing__(self, raw: bytes) -> bytes:
+        w = raw.decode()
+        # Without special tokens or marks to compose, the tokenizer's steps before its model are lower case and a split.
+        if raw.isalpha():
+            found = self._piece(w.lower())
+        elif "<|" in w or not w.isprintable() or not w.isascii() and max(w) >= "\u02b0":
+            found = np.array(self.own.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            found = b"".join(map(self._piece, PRETOKENS.findall(w.lower())))
+        self[raw] = found
+        return found
+
+
 def encode_words(texts: list[str], content: bytes) -> list[bytes]:
     """Each text's ids as little-endian u32. The tokenizer drops white space and never joins across it, so words are encoded one by one and remembered."""
     key = zlib.crc32(content)
     if key not in _MADE:
-        from tokenizers import Tokenizer
-
-        check_form(content)
-        own = Tokenizer.from_buffer(content)
-        own.no_truncation()
-        own.no_padding()
-        _MADE[key] = own, {None: {}}
-    own, known = _MADE[key]
+        _MADE[key] = WordIds(content)
+    known = _MADE[key]
     if len(known) > CACHE:
-        known.clear()
-        known[None] = {}
+        known.forget()
     # Below U+02B0 lower case and composition depend on no neighbour, so these texts share their words in lower case.
-    split = [(t.lower() if "<|" not in t and (t.isascii() or not HIGH.search(t)) else t).encode().split() for t in texts]
-    fresh = [*{w for ws in split for w in ws if w not in known}]
-    pieces: dict[str, bytes] = known[None]
-    for raw in fresh:
-        w = raw.decode()
-        if max(w) >= "\u02b0" or "<|" in w or not w.isprintable():
-            known[raw] = np.array(own.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            continue
-        # Without special tokens or marks to compose, the tokenizer's steps before its model are lower case and this split.
-        parts = PRETOKENS.findall(w.lower())
-        for p in parts:
-            if p not in pieces:
-                letters = p if p.isascii() else p.encode().decode("latin-1").translate(LETTERS)
-                pieces[p] = np.array([t.id for t in own.model.tokenize(letters)], "<u4").tobytes()
-        known[raw] = pieces[parts[0]] if len(parts) == 1 else b"".join(map(pieces.__getitem__, parts))
-    return [b"".join(map(known.__getitem__, ws)) for ws in split]
+    return [b"".join(map(known.__getitem__, (t.lower() if "<|" not in t and (t.isascii() or not HIGH.search(t)) else t).encode().split())) for t in texts]
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, block: int = 65_536, bits: bool = False, partitions: int | None = None, most_ids: int = 1 << 26) -> DataFrame:

@@ -609,3 +609,11 @@ def test_released_frames_leave_no_shuffle_files(spark):
     _shared.release(spark)
     time.sleep(2)
     assert shuffles.size() <= before
+
+
+def test_words_are_encoded_when_they_are_first_met():
+    """A word is made once, on its first look-up, and pieces that words share once."""
+    with open(TOKENS["word_bpe_49k.json"], "rb") as f:
+        known = idfile.WordIds(f.read())
+    first = known[b"piece1"]
+    assert first == known[b"piece"] + known[b"1"] and {*known} == {b"piece1", b"piece", b"1"} and {*known.pieces} == {"piece", "1"}
